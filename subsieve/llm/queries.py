@@ -6,11 +6,28 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bytebpe, media
+from . import bytebpe, linear, media, quality, toxicity
 from .common import read
 
 
+def scored(df: DataFrame, threshold: float) -> DataFrame:
+    return df.select("doc_id", linear.held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"), "quality")
+    return scored(quality.score(docs, model, keep=["doc_id"]), 0.3)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), "toxic")
+    return scored(toxicity.score(docs, model, keep=["doc_id"]), 0.5)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coder = bytebpe.ByteBPE.from_file(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return bytebpe.encode(read(spark, sf_dir, "documents"), coder, keep=["doc_id"], outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -22,6 +39,8 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality": op3_quality,
+    "op5_toxicity": op5_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op10_media": op10_media,
 }
