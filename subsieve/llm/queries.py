@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, linear, media, quality, toxicity
+from . import bytebpe, linear, media, neardup, quality, toxicity
 from .common import read
 
 
@@ -33,6 +33,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.encode(read(spark, sf_dir, "documents"), coder, keep=["doc_id"], outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = neardup.classes(read(spark, sf_dir, "documents"))
+    keep = (F.col("row") == F.col("class_row")) & (F.col("md5") == F.col("class_md5"))
+    return c.select(F.col("row.id").alias("doc_id"), F.col("class_row.id").alias("class_id"), keep.alias("kept"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     outputs = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
     return media.to_media(read(spark, sf_dir, "documents"), keep=["doc_id"], outputs=outputs)
@@ -42,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op5_toxicity": op5_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
+    "op8_near_dedup": op8_near_dedup,
     "op10_media": op10_media,
 }
 
