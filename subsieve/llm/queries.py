@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, linear, media, neardup, quality, toxicity
+from . import bytebpe, linear, media, neardup, quality, tokenfile, toxicity
 from .common import read
 
 
@@ -39,6 +40,12 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("row.id").alias("doc_id"), F.col("class_row.id").alias("class_id"), keep.alias("kept"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    definition = Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
+    shards = tokenfile.write_shards(read(spark, sf_dir, "documents"), definition, bits=16, end_id=1)
+    return tokenfile.read_shards(shards).withColumnRenamed("key", "doc_id")
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     outputs = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
     return media.to_media(read(spark, sf_dir, "documents"), keep=["doc_id"], outputs=outputs)
@@ -49,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op8_near_dedup": op8_near_dedup,
+    "op9_token_files": op9_token_files,
     "op10_media": op10_media,
 }
 
