@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, linear, media, mixing, neardup, quality, sharding, tokenfile, topk, toxicity
+from . import bytebpe, linear, lm, media, mixing, neardup, quality, sharding, tokenfile, topk, toxicity
 from subsieve.runtime import cut
 
 from .common import n_bytes, read
@@ -59,6 +59,13 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(rows, rows.filter("vec_id % 100 = 0"), k=10).withColumnsRenamed({"qid": "query_id", "id": "vec_id"})
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    counts, vocab, scorer = lm.fit(docs.filter(~lm.held_out()))
+    out = lm.score(docs, counts, vocab, scorer, keep=["doc_id"])
+    return out.select("doc_id", lm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = neardup.classes(read(spark, sf_dir, "documents"))
     keep = (F.col("row") == F.col("class_row")) & (F.col("md5") == F.col("class_md5"))
@@ -83,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_topk": op6_topk,
+    "op7_lm": op7_lm,
     "op8_near_dedup": op8_near_dedup,
     "op9_token_files": op9_token_files,
     "op10_media": op10_media,
