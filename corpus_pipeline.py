@@ -1,18 +1,69 @@
-"""A corpus pipeline over ``documents``: each stage is written as Parquet and reread as the next one's input."""
+"""A corpus pipeline over ``documents``: each stage is written as Parquet and reread as the next one's input.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that it is given and decides by them alone; labels
+are those of the rows that are still there. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from subsieve.llm import bytebpe, mixing, neardup, quality, toxicity
 from subsieve.runtime import cut
 
-STAGES: list = []
+#: A document goes if its quality is scored below, or its toxicity not below, these thresholds.
+LEAST_QUALITY, MOST_TOXICITY = 0.3, 0.5
+#: Weights of the sources by code point order, repeating, and output shards of the mix.
+WEIGHTS, SHARDS = (5, 2, 1), 24
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def by_score(docs: DataFrame, scored: DataFrame, passes) -> DataFrame:
+    return scored.filter(passes).select(*docs.columns)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.fit(docs, labels(spark, sf_dir), "quality")
+    return by_score(docs, quality.score(docs, model, output="__score"), F.col("__score") >= LEAST_QUALITY)
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(docs, labels(spark, sf_dir), "toxic")
+    return by_score(docs, toxicity.score(docs, model, output="__score"), F.col("__score") < MOST_TOXICITY)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.deduplicate(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs, mixing.cyclic(WEIGHTS), SHARDS).select(*docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    coder = bytebpe.ByteBPE.from_file(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bytebpe.encode(docs, coder, keep=["doc_id"], outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("toxicity", toxicity_filter),
+    ("minhash near-dedup", near_dedup),
+    ("mixing sources", mix_sources),
+    ("byte-level bpe", byte_bpe),
+]
 
-#: The classifiers and the random draw are beyond SQL; tests hold run() against a brute-force version.
+#: The classifiers and the random draw are beyond SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs if not k else cut(docs), sf_dir)

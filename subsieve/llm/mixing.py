@@ -24,6 +24,7 @@ are taken together; an empty table gives an empty mix.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -102,11 +103,40 @@ def digit(h: Column, level: int, n: Column) -> Column:
     return F.pmod(F.xxhash64(h, F.lit(level)), n.cast("bigint"))
 
 
-def mix(docs: DataFrame, weight: Callable[[int], float], shards: int = 24, seed: int = 20, most: int = 3, key: str = "doc_id", source: str = "source", text: str = "text", max_blocks: int = 1 << 16, max_sources: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
-    """The mix as (rows, sources). rows: id, source, h, size, ``draws`` (array of the shards that take the row, one entry per copy);
-    sources: source, source_size, target. ``weight`` gives the weight of the source at a place in code point order, null last."""
-    spark = docs.sparkSession
-    slim = cut(docs.select(F.col(key).alias("id"), F.col(source).cast("string").alias("s"), row_hash(key, text, seed).alias("h"), n_words(text).alias("size")))
+@dataclass
+class Plan:
+    """What each source gets. All tables are small and are broadcast: ``sources`` (s, source_size, target, blocks, place),
+    ``whole`` (place, block, draws), ``single`` (place, h, one), ``cells`` by depth: (place, block, fan) and (place, path, cell)."""
+
+    sources: DataFrame
+    whole: DataFrame
+    single: DataFrame
+    cells: dict[int, tuple[DataFrame, DataFrame]]
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (with s and h) and their source's size, target, place and number of blocks."""
+        return rows.join(F.broadcast(self.sources.withColumnRenamed("s", "_s")), F.col("s").eqNullSafe(F.col("_s"))).drop("_s")
+
+    def draws(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (with s and h) and ``draws``: the shards that take the row, one entry per copy. No shuffle."""
+        out = self.placed(rows).withColumn("block", digit(F.col("h"), 0, F.col("blocks"))).join(F.broadcast(self.whole), ["place", "block"], "left")
+        out, added = out.join(F.broadcast(self.single), ["place", "h"], "left"), [F.col("one")]
+        for depth, (fan, cells) in self.cells.items():
+            out = out.join(F.broadcast(fan), ["place", "block"], "left").withColumn("path", F.array_join(_path().cast("array<string>"), ","))
+            out = out.join(F.broadcast(cells), ["place", "path"], "left").drop("path", "fan")
+            added.append(F.col(f"cell{depth}"))
+        one, none = F.coalesce(*added), F.array().cast("array<int>")
+        return out.withColumn("draws", F.concat(F.coalesce("draws", none), F.when(one.isNotNull(), F.array(one)).otherwise(none))).drop("block", "place", "blocks", *(["one"] + [f"cell{d}" for d in self.cells]))
+
+
+def slim_rows(docs: DataFrame, seed: int, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """(id, s, h, size) of all documents, as a table in the shared folder."""
+    return cut(docs.select(F.col(key).alias("id"), F.col(source).cast("string").alias("s"), row_hash(key, text, seed).alias("h"), n_words(text).alias("size")))
+
+
+def make_plan(slim: DataFrame, weight: Callable[[int], float], shards: int, seed: int, most: int, max_blocks: int = 1 << 16, max_sources: int = 1_000_000) -> Plan:
+    """The plan over (id, s, h, size) rows; ``weight`` gives the weight of the source at a place in code point order, null last."""
+    spark = slim.sparkSession
     sums = slim.groupBy("s").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(max_sources + 1).collect()
     if len(sums) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
@@ -120,7 +150,8 @@ def mix(docs: DataFrame, weight: Callable[[int], float], shards: int = 24, seed:
     blocks = np.maximum(1, np.minimum(rows_ // BLOCK, (words / max(total, 1) * max_blocks).astype(np.int64)))
     schema = "s string, source_size bigint, target double, blocks bigint, place int"
     sources = spark.createDataFrame([(s, int(w), float(t), int(b), i) for i, (s, w, t, b) in enumerate(zip(names, words, target, blocks, strict=True))], schema)
-    at = slim.join(F.broadcast(sources.withColumnRenamed("s", "_s")), F.col("s").eqNullSafe(F.col("_s"))).drop("_s")
+    plan = Plan(sources, None, None, {})
+    at = plan.placed(slim)
 
     passes = np.minimum(most, np.floor(target / np.maximum(words, 1) + 1e-9)).astype(np.int64)
     rest = np.maximum(0.0, target - passes * words)
@@ -159,8 +190,7 @@ def mix(docs: DataFrame, weight: Callable[[int], float], shards: int = 24, seed:
                 last[i] = shard
             else:
                 where.setdefault((i, b), []).append(shard)
-    whole = spark.createDataFrame([(i, b, x) for (i, b), x in where.items()], "place int, block bigint, draws array<int>")
-    out = at.withColumn("block", digit(F.col("h"), 0, F.col("blocks"))).join(F.broadcast(whole), ["place", "block"], "left")
+    plan.whole = spark.createDataFrame([(i, b, x) for (i, b), x in where.items()], "place int, block bigint, draws array<int>")
 
     # the finer cells: per source one cell is cut again until it holds few documents; the others are taken whole or not
     chosen: list[tuple] = []  # (place, h, shard) of documents, and (place, path, shard) of cells, by depth
@@ -200,18 +230,16 @@ def mix(docs: DataFrame, weight: Callable[[int], float], shards: int = 24, seed:
                             after[i] = (b, fan_, [*path, c], left, n)
                         break
         open_ = after
-    added = [F.col("one")]
-    out = out.join(F.broadcast(spark.createDataFrame(chosen, "place int, h bigint, one int")), ["place", "h"], "left")
-    for depth, rows_at in taken.items():
-        fan = F.broadcast(spark.createDataFrame(fans[depth], "place int, block bigint, fan array<int>"))
-        cells_at = F.broadcast(spark.createDataFrame(rows_at, f"place int, path string, cell{depth} int"))
-        out = out.join(fan, ["place", "block"], "left").withColumn("path", F.array_join(_path().cast("array<string>"), ",")).join(cells_at, ["place", "path"], "left").drop("path", "fan")
-        added.append(F.col(f"cell{depth}"))
-    one = F.coalesce(*added)
-    none = F.array().cast("array<int>")
-    draws = F.concat(F.coalesce("draws", none), F.when(one.isNotNull(), F.array(one)).otherwise(none))
-    rows = out.select("id", F.col("s").alias("source"), "h", "size", "source_size", "target", draws.alias("draws"))
-    return rows, sources.select(F.col("s").alias("source"), "source_size", "target")
+    plan.single = spark.createDataFrame(chosen, "place int, h bigint, one int")
+    for depth, found in taken.items():
+        plan.cells[depth] = (spark.createDataFrame(fans[depth], "place int, block bigint, fan array<int>"), spark.createDataFrame(found, f"place int, path string, cell{depth} int"))
+    return plan
+
+
+def mix(docs: DataFrame, weight: Callable[[int], float], shards: int = 24, seed: int = 20, most: int = 3, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """(id, s, h, size, source_size, target, draws) of each document: its source and words, and the shards that take it."""
+    slim = slim_rows(docs, seed, key, source, text)
+    return make_plan(slim, weight, shards, seed, most).draws(slim)
 
 
 def _path() -> Column:
@@ -228,12 +256,11 @@ def _inside(at: DataFrame, cells: dict[int, tuple]) -> DataFrame:
 
 def mixed(docs: DataFrame, weight: Callable[[int], float], shards: int = 24, seed: int = 20, most: int = 3, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The documents of the mix, one row per copy, with the column ``shard`` (and ``place``, a random number to order a shard by)."""
-    rows, _ = mix(docs, weight, shards, seed, most, key, source, text)
-    shard, place, h = fresh(docs, "shard", "place", "h")
-    taken = rows.filter(F.size("draws") > 0).select(F.col("h").alias(h), F.col("draws").alias(shard)).dropDuplicates([h])
-    out = docs.withColumn(h, row_hash(key, text, seed)).join(taken, h)
-    out = out.select(*docs.columns, F.col(h), F.posexplode(shard).alias(place, shard))
-    return out.withColumn(place, F.xxhash64(F.lit(seed), F.col(h), F.col(place))).drop(h)
+    plan = make_plan(slim_rows(docs, seed, key, source, text), weight, shards, seed, most)
+    shard, place = fresh(docs, "shard", "place")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source).cast("string").alias("s"), row_hash(key, text, seed).alias("h"))
+    out = plan.draws(rows).select("row", "h", F.posexplode("draws").alias("copy", "shard"))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("shard").alias(shard), F.xxhash64(F.lit(seed), "h", "copy").alias(place))
 
 
 def shuffled(mixture: DataFrame, shard: str = "shard", place: str = "place") -> DataFrame:

@@ -16,7 +16,7 @@ from .common import n_bytes, read
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = mixing.mix(read(spark, sf_dir, "documents"), mixing.cyclic((5, 2, 1)))
+    rows = mixing.mix(read(spark, sf_dir, "documents"), mixing.cyclic((5, 2, 1)))
     taken = F.col("size") * F.size("draws")
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken.cast("bigint").alias("taken"), F.array_join(F.transform("draws", lambda x: x.cast("string")), ",").alias("shards"))
 
