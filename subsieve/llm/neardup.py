@@ -11,10 +11,11 @@ text without words links only to equal texts.
    passages are reordered. Texts of at most ``SHORT`` shingles have a second set of sketches with two shingles
    each, as four would be too many for them.
 3. Texts with an equal sketch value are a bucket. No bucket is expanded into all its pairs: its members are
-   compared with a representative (the least id), verified links are joined to components, and members that
-   stay apart are compared with further representatives in rounds that each take one member of another
-   component. What is still apart after ``ROUNDS`` rounds is compared in all pairs across components, so that
-   no link within a bucket is lost; inside a component no further pair is needed.
+   compared with a representative (the least id), and verified links are joined to components. Larger buckets
+   whose members stay apart are compared with another member, in a few rounds. Last, what is still apart is
+   compared exactly: all pairs across components within buckets of at most ``SMALL`` members, and between the
+   texts of larger buckets (those that share a common passage, say) all pairs that the prefix filter leaves,
+   which is exact for the similarity. So no link within a bucket is lost; within a component none is needed.
 4. A pair is verified by aligning its shingles within the band that the threshold leaves open; texts with
    moved passages, which the alignment refuses, are then tested by their exact Jaccard index.
 5. Components by minimum propagation with pointer jumping on tables in the shared folder; no fingerprints,
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from subsieve.runtime import cut
@@ -43,7 +44,10 @@ from .linear import Cache
 WORDS, SIMILARITY = 5, 0.8
 HASHES, PICK = 24, 4
 SHORT, SHORT_HASHES, SHORT_PICK = 80, 16, 2
-ROUNDS = 6
+#: Rounds of comparison: by representatives, the last in all pairs that are still open.
+ROUNDS = 3
+#: Members of a bucket whose open pairs are tested directly; the texts of larger ones go through the prefix filter.
+SMALL = 8
 #: Up to so many texts that take part in a pair are found in the documents by a broadcast of their keys (16 bytes
 #: each), beyond it by a shuffled semi join.
 BROADCAST_KEYS = 2_000_000
@@ -89,12 +93,13 @@ def order_minhash(s: np.ndarray, seeds: np.ndarray, pick: int) -> np.ndarray:
     """One value per seed from labelled shingles in text order."""
     n, k = len(s), min(pick, len(s))
     out = np.empty(len(seeds), np.uint64)
-    powers = POWERS[:k]
-    for j, seed in enumerate(seeds):
-        h = (s ^ seed) * ODD
+    step = max(1, 32_768 // n)  # functions done at once
+    for j in range(0, len(seeds), step):
+        seed = seeds[j : j + step, None]
+        h = (s[None, :] ^ seed) * ODD
         h ^= h >> np.uint64(32)
-        at = np.sort(np.argpartition(h, k - 1)[:k]) if n > k else np.arange(n)
-        out[j] = ((s[at] ^ seed) * powers).sum(dtype=np.uint64)
+        at = np.sort(np.argpartition(h, k - 1, axis=1)[:, :k], axis=1) if n > k else np.broadcast_to(np.arange(n), h.shape)
+        out[j : j + step] = ((s[at] ^ seed) * POWERS[:k]).sum(1, dtype=np.uint64)
     return scramble(out)
 
 
@@ -212,30 +217,49 @@ def linked(base: DataFrame, reps: DataFrame, members: DataFrame, nodes: DataFram
     texts_ = cut(base.join(wanted, ["md5", "row"]).dropDuplicates(["md5", "row"]).select("node", "text"))
     pairs = members.filter("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
     done = edges = None
-    all_ = False
-    for turn in range(ROUNDS + 2):
+    for turn in range(ROUNDS + 1):
         tested = cut(verified(pairs, texts_))
         done, edges = (x.select("a", "b") if y is None else y.union(x.select("a", "b")) for x, y in ((tested, done), (tested.filter("ok"), edges)))
         found = components(edges)
         labels = cut(nodes.join(found, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
-        inside = members.join(labels, "node").select("bucket", "node", "comp")
-        spread = inside.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high")
-        apart = cut(inside.join(spread.select("bucket"), "bucket", "left_semi"))
-        size = apart.groupBy("bucket", "comp").agg(F.count("*").cast("double").alias("n")).groupBy("bucket").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("across"))
-        across = size.agg(F.sum("across")).first()[0] or 0
-        if all_ or not across:
+        if turn == ROUNDS:
             return labels
-        if across <= max(n, 10_000) or turn == ROUNDS:
-            every = apart.select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca"))
-            next_, all_ = apart.join(every, "bucket").filter("comp < ca"), True
-        else:  # the next representative of a bucket is one of its members by a hash that changes each round
+        inside = members.join(labels, "node").select("bucket", "node", "comp")
+        spread = inside.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low != high")
+        apart = cut(inside.join(spread.select("bucket", "n"), "bucket"))
+        if turn < ROUNDS - 1:  # the next representative of a bucket is one of its members by a hash that changes each round
             rank = F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("h"), "node", "comp")
-            rep = apart.groupBy("bucket").agg(F.min(rank).alias("r")).select("bucket", F.col("r.node").alias("a"), F.col("r.comp").alias("ca"))
-            next_, all_ = apart.join(rep, "bucket").filter("comp != ca"), False
-        fresh = next_.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+            rep = apart.filter(F.col("n") > SMALL).groupBy("bucket").agg(F.min(rank).alias("r")).select("bucket", F.col("r.node").alias("a"), F.col("r.comp").alias("ca"))
+            next_ = apart.join(rep, "bucket").filter("comp != ca").select("a", F.col("node").alias("b"))
+        else:
+            small = apart.filter(F.col("n") <= SMALL)
+            other = small.select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca"))
+            within = small.join(other, "bucket").filter("comp < ca").select("a", F.col("node").alias("b"))
+            next_ = within.union(by_prefix(cut(apart.filter(F.col("n") > SMALL).select("node", "comp").distinct()), texts_))
+        fresh = next_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = cut(fresh.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-        if all_ and not pairs.limit(1).count():
-            return labels
+
+
+def by_prefix(nodes: DataFrame, texts_: DataFrame) -> DataFrame:
+    """(a, b): all pairs of ``nodes`` (node, comp) of different components that can have the similarity, by the prefix filter.
+
+    Order each text's distinct shingles from the rarest among these nodes; two texts with the similarity t share
+    one of the first n - ceil(t n) + 1. Passages that many texts hold are common and so stand last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [first_places(shingles(raw)).view(np.int64) for raw in blobs(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "codes"])
+
+    listed = arrow_map(texts_.join(nodes.select("node"), "node", "left_semi").select("node", "text"), run, "node bigint, codes array<bigint>")
+    rows = cut(listed.select("node", F.size("codes").alias("n"), F.explode("codes").alias("code")))
+    held = rows.groupBy("code").agg(F.count("*").alias("held"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("held", "code"))
+    first = rows.join(held, "code").withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1).filter("held > 1")
+    left = cut(first.select("node", "n", "code").join(nodes, "node"))
+    right = left.select("code", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("cb"))
+    near = (F.col("m") >= F.col("n") * SIMILARITY - 1e-9) & (F.col("n") >= F.col("m") * SIMILARITY - 1e-9)
+    return left.join(right, "code").filter((F.col("comp") < F.col("cb")) & near).select(F.col("node").alias("a"), "b").distinct()
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
