@@ -1,0 +1,159 @@
+"""Fixed values that the engine's results must equal."""
+
+# fixed values: stored sets, queries, and operands of scalar tests, as bit positions
+F = [
+    [12, 20, 35, 43, 47, 98, 122, 142, 155, 169, 182, 184, 187, 191],
+    [13, 21, 36, 44, 48, 99, 123, 143, 156, 170, 183, 185, 188],
+    [13, 36, 48, 58, 70, 73, 87, 91, 108, 138, 147, 154, 159, 161, 171, 172, 178, 183, 190],
+    [11, 23, 27, 38, 46, 65, 81, 112, 114, 121, 130, 131, 139, 148, 166, 176, 186, 188],
+    [4, 9, 12, 26, 33, 75, 77, 91, 122, 129, 138, 140, 154, 169],
+    [3, 4, 10, 15, 18, 43, 56, 59, 66, 84, 88, 126, 128, 142, 143, 152, 165, 179, 182, 190],
+    [1, 2, 10, 35, 71, 76, 92, 106, 118, 133, 141, 150, 180, 182],
+    [4, 13, 28, 31, 47, 51, 79, 96, 140, 180, 181, 182],
+    [32, 33, 51, 67, 76, 80, 104, 121, 131, 132, 177, 183, 186, 191],
+    [0, 6, 22, 58, 64, 73, 74, 76, 79, 87, 89, 122, 125, 133, 135, 170, 172, 176, 177],
+    [15, 24, 31, 40, 52, 54, 72, 91, 94, 95, 99, 101, 111, 125, 137, 145, 147, 150, 159, 175, 176],
+]
+Q = [
+    [13, 21, 36, 44, 48, 99, 123, 143, 156, 183, 185, 188],
+    [0, 6, 13, 17, 22, 36, 48, 52, 53, 58, 64, 70, 73, 74, 76, 79, 87, 89, 91, 107, 108, 122, 125, 133, 135, 138, 147, 154, 159, 160, 161, 171, 172, 173, 177, 178, 183, 190],
+    [13, 36, 48, 58, 70, 73, 87, 91, 108, 138, 147, 154, 159, 161, 171, 172, 178, 183, 190],
+    [11, 23, 27, 38, 46, 65, 81, 112, 114, 121, 130, 131, 139, 148, 166, 176, 186, 188],
+    [0, 4, 6, 9, 10, 11, 12, 13, 15, 17, 18, 22, 36, 43, 44, 45, 46, 47, 49, 53, 54, 55, 56, 57, 59, 65, 66, 71, 74, 75, 77, 80, 84, 88, 90, 92, 108, 109, 122, 123, 126, 129, 134, 136, 138, 139, 140, 149, 154, 155, 156, 161, 162, 163, 168, 169, 170, 176, 177, 178, 183, 190],
+    [4, 9, 12, 26, 33, 75, 77, 91, 122, 129, 138, 140, 154, 169],
+    [3, 4, 10, 15, 18, 43, 56, 59, 66, 84, 88, 126, 128, 142, 143, 152, 165, 179, 182, 190],
+    [1, 2, 10, 35, 71, 76, 92, 106, 118, 133, 141, 150, 180, 182],
+    [4, 13, 28, 31, 47, 51, 79, 96, 140, 180, 181, 182],
+    [32, 33, 51, 67, 76, 80, 104, 121, 131, 132, 177, 183, 186, 191],
+    [6, 22, 26, 28, 31, 32, 33, 47, 51, 58, 64, 67, 70, 71, 74, 75, 76, 79, 80, 87, 89, 94, 95, 96, 104, 105, 106, 107, 121, 122, 125, 131, 132, 133, 135, 140, 141, 170, 172, 176, 177, 180, 181, 182, 183, 186, 187, 191],
+    [15, 24, 31, 40, 52, 54, 72, 91, 94, 95, 99, 101, 111, 125, 137, 145, 147, 150, 159, 175, 176],
+    [p for p in range(192) if p != 39],
+]
+B = {
+    "B0": [3, 6, 10, 18, 19, 20, 30, 42, 43, 54, 105, 140, 142, 175],
+    "B1": [2, 3, 6, 10, 11, 14, 15, 18, 19, 20, 27, 30, 40, 42, 43, 45, 47, 54, 69, 84, 87, 90, 99, 102, 105, 118, 127, 128, 140, 142, 174, 175],
+    "B2": [],
+    "B3": [*range(192)],
+    "B4": [0, 2, 4, 6, 8, 10, 12, 14, 16, 18, 20, 22, 24, 26, 28, 30, 32, 34, 36, 38, 40, 42, 44, 46, 48, 50, 52, 54, 56, 58, 60, 62, 64, 66, 68, 70, 72, 74, 76, 78, 80, 82, 84, 86, 88, 90, 92, 94, 96, 98, 100, 102, 104, 106, 108, 110, 112, 114, 116, 118, 120, 122, 124, 126, 128, 130, 132, 134, 136, 138, 140, 142, 144, 146, 148, 150, 152, 154, 156, 158, 160, 162, 164, 166, 168, 170, 172, 174, 176, 178, 180, 182, 184, 186, 188, 190],
+    "B5": [1, 3, 5, 7, 9, 11, 13, 15, 17, 19, 21, 23, 25, 27, 29, 31, 33, 35, 37, 39, 41, 43, 45, 47, 49, 51, 53, 55, 57, 59, 61, 63, 65, 67, 69, 71, 73, 75, 77, 79, 81, 83, 85, 87, 89, 91, 93, 95, 97, 99, 101, 103, 105, 107, 109, 111, 113, 115, 117, 119, 121, 123, 125, 127, 129, 131, 133, 135, 137, 139, 141, 143, 145, 147, 149, 151, 153, 155, 157, 159, 161, 163, 165, 167, 169, 171, 173, 175, 177, 179, 181, 183, 185, 187, 189, 191],
+    "B6": [190],
+    "B7": [94, 190],
+    "B8": [1, 94, 190],
+    "B9": [94],
+    "B10": [1, 94],
+    "B11": [1],
+    "B12": [2, 11, 14, 15, 27, 84, 87, 90, 99, 102, 118, 128, 174],
+    "B13": [8, 16, 23, 24, 26, 28, 33, 44, 47, 52, 57, 59, 62, 63, 67, 75, 76, 78, 83, 84, 86, 103, 108, 129, 136, 139, 140, 144, 155, 158, 164, 182, 187, 190],
+    "B14": [14, 23, 26, 45, 47, 52, 54, 57, 69, 76, 127, 155, 158, 187],
+    "B15": [2, 4, 9, 10, 12, 14, 16, 17, 23, 27, 37, 38, 39, 44, 45, 46, 49, 53, 54, 56, 59, 62, 63, 64, 65, 66, 68, 80, 81, 82, 85, 86, 88, 91, 93, 96, 100, 107, 109, 110, 117, 120, 128, 129, 131, 135, 136, 139, 140, 143, 146, 158, 162, 163, 164, 166, 177, 178, 184, 189, 190],
+    "B16": [2, 4, 10, 12, 14, 16, 17, 23, 27, 37, 38, 39, 44, 45, 46, 49, 53, 54, 56, 59, 62, 63, 64, 66, 68, 80, 81, 82, 85, 86, 88, 91, 93, 96, 100, 107, 109, 110, 117, 120, 128, 129, 131, 135, 136, 139, 140, 143, 146, 158, 162, 163, 164, 166, 177, 178, 184, 189, 190],
+    "B17": [2, 4, 9, 10, 12, 14, 16, 17, 23, 27, 37, 38, 39, 44, 45, 46, 49, 53, 54, 56, 59, 62, 63, 64, 65, 66, 68, 80, 81, 82, 85, 86, 88, 93, 96, 100, 107, 109, 110, 117, 120, 128, 129, 131, 135, 136, 139, 140, 143, 146, 158, 162, 163, 164, 166, 177, 178, 184, 189, 190],
+    "B18": [0],
+    "B19": [0, 191],
+    "B20": [191],
+    "B21": [126],
+    "B22": [0, 126],
+    "B23": [61],
+    "B24": [0, 61],
+    "B25": [123],
+    "B26": [58],
+    "B27": [4, 6, 10, 18, 19, 20, 30, 42, 43, 54, 105, 140, 142, 175],
+    "B28": [3, 6, 10, 18, 19, 20, 30, 42, 43, 53, 105, 140, 142, 175],
+    "B29": [3, 6, 10, 18, 19, 20, 30, 42, 43, 54, 105, 129, 140, 142, 175],
+    "B30": [3, 6, 10, 18, 19, 20, 30, 42, 43, 54, 65, 105, 140, 142, 175],
+    "B31": [3, 10, 18, 20, 30, 42, 43, 54, 105, 142, 175],
+    "B32": [3, 6, 10, 18, 19, 20, 30, 42, 43, 54, 105, 140, 142, 175, 181],
+    "B33": [1, 3, 10, 18, 20, 30, 42, 43, 54, 105, 142, 175],
+    "B34": [0, 3, 10, 18, 20, 30, 42, 43, 54, 105, 142, 175],
+    "B35": [3, 10, 18, 20, 30, 42, 43, 54, 105, 142, 175, 191],
+    "B36": [3, 10, 13, 18, 20, 30, 42, 43, 54, 105, 142, 163, 175],
+    "B37": [3, 10, 18, 20, 30, 42, 43, 54, 105, 142, 163, 175],
+}
+
+# fixed values: operation, left, right, bounds, expected
+OPERATIONS = [
+    ("equals", "B0", "B1", [], False),
+    ("equals", "B1", "B1", [], True),
+    ("equals", "B2", "B2", [], True),
+    ("equals", "B3", "B3", [], True),
+    ("equals", "B3", "B2", [], False),
+    ("equals", "B4", "B5", [], False),
+    ("equals", "B2", "B6", [], False),
+    ("equals", "B2", "B7", [], False),
+    ("equals", "B2", "B8", [], False),
+    ("equals", "B2", "B9", [], False),
+    ("equals", "B2", "B10", [], False),
+    ("equals", "B2", "B11", [], False),
+    ("subset_of", "B0", "B1", [], True),
+    ("subset_of", "B12", "B13", [], False),
+    ("subset_of", "B14", "B15", [], False),
+    ("subset_of", "B16", "B17", [], False),
+    ("subset_of", "B18", "B18", [], True),
+    ("subset_of", "B18", "B19", [], True),
+    ("subset_of", "B20", "B19", [], True),
+    ("subset_of", "B21", "B22", [], True),
+    ("subset_of", "B23", "B24", [], True),
+    ("subset_of", "B20", "B20", [], True),
+    ("subset_of", "B20", "B20", [], True),
+    ("subset_of", "B25", "B25", [], True),
+    ("subset_of", "B26", "B26", [], True),
+    ("prefix_less_than", "B0", "B1", [], True),
+    ("prefix_less_than", "B0", "B0", [], False),
+    ("prefix_less_than", "B0", "B27", [], False),
+    ("prefix_less_than", "B0", "B28", [], True),
+    ("prefix_less_than", "B28", "B0", [], False),
+    ("leftmost_diff", "B0", "B1", [], 2),
+    ("leftmost_diff", "B0", "B0", [], 192),
+    ("leftmost_diff", "B0", "B29", [], 129),
+    ("leftmost_diff", "B30", "B29", [], 65),
+    ("prefix_subset_of", "B31", "B32", [0], True),
+    ("prefix_subset_of", "B31", "B32", [10], True),
+    ("prefix_subset_of", "B31", "B32", [100], True),
+    ("prefix_subset_of", "B31", "B32", [192], True),
+    ("prefix_subset_of", "B33", "B32", [0], True),
+    ("prefix_subset_of", "B34", "B32", [0], True),
+    ("prefix_subset_of", "B34", "B32", [1], False),
+    ("prefix_subset_of", "B33", "B32", [1], True),
+    ("prefix_subset_of", "B33", "B32", [2], False),
+    ("prefix_subset_of", "B35", "B32", [191], True),
+    ("prefix_subset_of", "B35", "B32", [192], False),
+    ("prefix_subset_of", "B32", "B31", [6], True),
+    ("prefix_subset_of", "B32", "B31", [7], False),
+    ("prefix_subset_of", "B32", "B31", [10], False),
+    ("prefix_subset_of", "B32", "B31", [100], False),
+    ("prefix_subset_of", "B32", "B31", [192], False),
+    ("suffix_subset_of", "B31", "B32", [0], True),
+    ("suffix_subset_of", "B31", "B32", [10], True),
+    ("suffix_subset_of", "B31", "B32", [100], True),
+    ("suffix_subset_of", "B33", "B32", [0], False),
+    ("suffix_subset_of", "B34", "B32", [0], False),
+    ("suffix_subset_of", "B34", "B32", [1], True),
+    ("suffix_subset_of", "B33", "B32", [1], False),
+    ("suffix_subset_of", "B33", "B32", [2], True),
+    ("suffix_subset_of", "B35", "B32", [191], False),
+    ("suffix_subset_of", "B32", "B31", [1], False),
+    ("suffix_subset_of", "B32", "B31", [10], False),
+    ("suffix_subset_of", "B32", "B31", [100], False),
+    ("suffix_subset_of", "B32", "B31", [181], False),
+    ("suffix_subset_of", "B32", "B31", [182], True),
+    ("suffix_subset_of", "B32", "B31", [191], True),
+    ("range_subset", "B31", "B32", [0, 192], True),
+    ("range_subset", "B31", "B32", [63, 126], True),
+    ("range_subset", "B31", "B32", [163, 165], True),
+    ("range_subset", "B36", "B32", [0, 14], False),
+    ("range_subset", "B36", "B32", [0, 13], True),
+    ("range_subset", "B36", "B32", [14, 101], True),
+    ("range_subset", "B36", "B32", [13, 14], False),
+    ("range_subset", "B37", "B32", [14, 15], True),
+    ("range_subset", "B37", "B32", [12, 13], True),
+    ("range_subset", "B37", "B32", [163, 171], False),
+    ("range_subset", "B37", "B32", [163, 164], False),
+    ("range_subset", "B37", "B32", [0, 164], False),
+    ("range_subset", "B37", "B32", [0, 163], True),
+    ("range_subset", "B37", "B32", [164, 192], True),
+    ("range_subset", "B37", "B32", [163, 191], False),
+    ("range_subset", "B37", "B32", [163, 192], False),
+]
+
+# fixed values: keys of the stored sets that each query holds
+MATCHES = [[], [2], [2], [3], [], [4], [5], [6], [7], [8], [8], [10], [*range(11)]]
