@@ -215,8 +215,12 @@ class Bits:
         """Position p moves to ``new_of[p]``, which must be a permutation of all positions."""
         if sorted(new_of) != list(range(self.width)):
             raise ValueError("a bit permutation must be a bijection of all positions")
-        table = F.array(*map(F.lit, new_of))
-        return Bits.from_positions(F.transform(self.positions(), lambda p: F.get(table, p)), len(self.words))
+        # one term per position: nested lambdas over words that lambdas made gave wrong bits here on Spark 4.1
+        out = []
+        for k in range(len(self.words)):
+            terms = [F.shiftleft(F.getbit(self.words[old // 64], F.lit(old % 64)).cast("bigint"), new % 64) for old, new in enumerate(new_of) if new // 64 == k]
+            out.append(reduce(Column.bitwiseOR, terms))
+        return Bits(*out)
 
 
 def union_all(df: DataFrame, by: Sequence[str], prefix: str = "b", n_words: int = N_WORDS) -> DataFrame:
