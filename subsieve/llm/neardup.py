@@ -243,8 +243,8 @@ def linked(base: DataFrame, reps: DataFrame, members: DataFrame, nodes: DataFram
 def by_prefix(nodes: DataFrame, texts_: DataFrame) -> DataFrame:
     """(a, b): all pairs of ``nodes`` (node, comp) of different components that can have the similarity, by the prefix filter.
 
-    Order each text's distinct shingles from the rarest among these nodes; two texts with the similarity t share
-    one of the first n - ceil(t n) + 1. Passages that many texts hold are common and so stand last."""
+     Order each text's distinct shingles from the rarest among these nodes; two texts with the similarity t share
+    one of the first n - ceil(t n) + 1, and the places of the first shared one bound what they can share. Passages that many texts hold are common and so stand last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -256,9 +256,11 @@ def by_prefix(nodes: DataFrame, texts_: DataFrame) -> DataFrame:
     held = rows.groupBy("code").agg(F.count("*").alias("held"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("held", "code"))
     first = rows.join(held, "code").withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1).filter("held > 1")
-    left = cut(first.select("node", "n", "code").join(nodes, "node"))
-    right = left.select("code", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("cb"))
-    near = (F.col("m") >= F.col("n") * SIMILARITY - 1e-9) & (F.col("n") >= F.col("m") * SIMILARITY - 1e-9)
+    left = cut(first.select("node", "n", "code", "place").join(nodes, "node"))
+    right = left.select("code", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("cb"), F.col("place").alias("at"))
+    # from their first common shingle on, two texts share no more than what the shorter rest holds
+    most = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) + 1
+    near = most >= (F.col("n") + F.col("m")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9
     return left.join(right, "code").filter((F.col("comp") < F.col("cb")) & near).select(F.col("node").alias("a"), "b").distinct()
 
 
