@@ -125,8 +125,13 @@ def tag_anchor(filters: DataFrame, queries: DataFrame, key: list[str], tags: str
     moving = queries.withColumn("_t", F.explode(F.array_distinct(query_tags))).join(held, "_t").withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
     found = waiting.join(moving, ["_t", "_s"]).filter(F.size(F.array_except(tags, query_tags)) == 0).select(*filters.columns, *[c for c in queries.columns])
     bare = filters.filter((F.size(tags) == 0) | F.col(tags).isNull())
-    every = F.broadcast(bare) if size_bound(bare) <= BROADCAST_BYTES else bare
-    return found.unionByName(queries.join(every, F.lit(True)).select(*found.columns))
+    if not bare.limit(1).count():
+        return found
+    # one row holds all bare sets' rows together, so that queries are repeated by a generator and not by a cross join
+    packed = bare.agg(F.collect_list(F.struct(*bare.columns)).alias("_bare"))
+    if size_bound(bare) > BROADCAST_BYTES:
+        raise ValueError("too many sets without tags: every query would hold all of them")
+    return found.unionByName(queries.join(F.broadcast(packed)).select("*", F.inline("_bare")).select(*found.columns))
 
 
 def pairs(filters: DataFrame, queries: DataFrame, relation: str = "subset", strategy: str = "auto", **options) -> DataFrame:

