@@ -7,8 +7,9 @@ text without words links only to equal texts.
 1. Equal texts (by md5) form a class with one representative; only representatives go on.
 2. Order MinHash: each of ``HASHES`` functions picks the ``PICK`` least occurrence-labelled shingles of a text
    and keeps them in text order; the ordered tuple is one sketch value, equal for two texts with a chance of
-   about J ** PICK (0.41 at J = 0.8, so 24 functions miss a link with a chance of 3e-6) and falling when
-   passages are reordered. Texts of at most ``SHORT`` shingles have a second set of sketches with two shingles
+   about J ** PICK (0.41 at J = 0.8, so 24 functions miss a link with a chance of 3e-6). Order is part of it: a
+   text whose halves are swapped shares only functions that pick from one half, about one in eight, and is
+   found with a chance of about 0.95 instead. Texts of at most ``SHORT`` shingles have a second set of sketches with two shingles
    each, as four would be too many for them.
 3. Texts with an equal sketch value are a bucket. No bucket is expanded into all its pairs: its members are
    compared with a representative (the least id), and verified links are joined to components. Larger buckets
