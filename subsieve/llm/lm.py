@@ -31,6 +31,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -122,8 +123,9 @@ class Trainer:
             x += self.rate * g / np.sqrt(s)
 
     def run(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
-        for k in range(0, len(w), BATCH):
-            self.step(a[k : k + BATCH], b[k : k + BATCH], w[k : k + BATCH])
+        size = max(256, min(BATCH, len(w) // 16))  # a short text collection still gets some steps
+        for k in range(0, len(w), size):
+            self.step(a[k : k + size], b[k : k + size], w[k : k + size])
 
 
 def log_normaliser(p: Params) -> np.ndarray:
@@ -163,8 +165,9 @@ class Vocabulary:
         return Cache(lambda w: heads[w] if w in heads else tail_class(w))
 
     def share(self) -> np.ndarray:
-        """Add-one share of the classes among all training tokens."""
-        return (self.class_tokens + 1.0) / (self.class_tokens.sum() + self.classes)
+        """Add-one share of the classes among all training tokens; classes that no word has get next to nothing."""
+        used = np.where((np.arange(self.classes) < len(self.heads())) | (np.arange(self.classes) >= HEADS), 1.0, 1e-6)
+        return (self.class_tokens + used) / (self.class_tokens.sum() + used.sum())
 
 
 def count_words(train: DataFrame, text: str = "text", flush: int = 400_000) -> DataFrame:
@@ -201,6 +204,8 @@ def vocabulary(counts: DataFrame, known: int = KNOWN) -> Vocabulary:
             break
         least, held = b, held + n
     top = counts.filter(level >= least).toPandas() if least is not None else counts.limit(0).toPandas()
+    if END not in {bytes(w) for w in top["word"]}:  # every text has it, whatever its rank
+        top = pd.concat([top, counts.filter(F.col("word") == F.lit(END)).toPandas()])
     top = top.assign(word=[bytes(w) for w in top["word"]]).sort_values(["c", "word"], ascending=[False, True])
     v = Vocabulary(top["word"].tolist(), top["c"].to_numpy(np.int64), sum(c for *_, c in bins), sum(n for _, n, _ in bins), np.zeros(HEADS + TAILS), np.zeros(HEADS + TAILS))
     heads = v.heads()
