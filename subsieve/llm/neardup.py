@@ -7,9 +7,11 @@ text without words links only to equal texts.
 1. Equal texts (by md5) form a class with one representative; only representatives go on.
 2. Order MinHash: each of ``HASHES`` functions picks the ``PICK`` least occurrence-labelled shingles of a text
    and keeps them in text order; the ordered tuple is one sketch value, equal for two texts with a chance of
-   about J ** PICK (0.41 at J = 0.8, so 24 functions miss a link with a chance of 3e-6). Order is part of it: a
+   about J ** PICK (0.41 at J = 0.8, so 24 functions miss a link with a chance of 3e-6). As the similarity
+   counts a shingle once, a text with repeated shingles has the same functions' values over its distinct shingles,
+   in the order of their first occurrence, as well: how often it repeats them plays no part. Order is part of it: a
    text whose halves are swapped shares only functions that pick from one half, about one in eight, and is
-   found with a chance of about 0.95 instead. Texts of at most ``SHORT`` shingles have a second set of sketches with two shingles
+   found with a chance of about 0.95 instead. Texts of at most ``SHORT`` distinct shingles have a second set of sketches with two shingles
    each, as four would be too many for them.
 3. Texts with an equal sketch value are a bucket. No bucket is expanded into all its pairs: its members are
    compared with a representative (the least id), and verified links are joined to components. Larger buckets
@@ -105,15 +107,17 @@ def order_minhash(s: np.ndarray, seeds: np.ndarray, pick: int) -> np.ndarray:
 
 
 def sketch(raw: bytes) -> np.ndarray:
-    """All sketch values of a text; function j's values are apart from every other function's."""
+    """All sketch values of a text, each once; function j's values are apart from every other function's."""
     s = shingles(raw)
     if not len(s):
         return s
-    labels = labelled(s)
-    out = order_minhash(labels, SEEDS[:HASHES], PICK)
-    if len(s) <= SHORT:
-        out = np.concatenate([out, order_minhash(labels, SEEDS[HASHES:], SHORT_PICK)])
-    return out
+    labels, once = labelled(s), first_places(s)
+    out = []
+    for places in [labels] if len(once) == len(s) else [labels, once]:
+        out.append(order_minhash(places, SEEDS[:HASHES], PICK))
+        if len(once) <= SHORT:
+            out.append(order_minhash(places, SEEDS[HASHES:], SHORT_PICK))
+    return np.unique(np.concatenate(out))
 
 
 def first_places(s: np.ndarray) -> np.ndarray:
@@ -271,7 +275,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     rows = cut(sketched(base))
     # one representative of each text; two texts share a node number with a chance of n^2 / 2^65
     reps = cut(rows.groupBy("md5").agg(F.min("row").alias("row"), F.first("values").alias("values")).withColumn("node", F.xxhash64("md5")))
-    entries = reps.select("node", F.posexplode("values").alias("j", "value")).select("node", F.xxhash64("j", "value").alias("bucket"))
+    entries = reps.select("node", F.explode("values").alias("bucket"))
     stars = entries.groupBy("bucket").agg(F.min("node").alias("rep"), F.count("*").alias("n")).filter("n > 1")
     members = cut(entries.join(stars.select("bucket", "rep"), "bucket").select("bucket", "node", "rep"))
     nodes = cut(members.select("node").distinct())

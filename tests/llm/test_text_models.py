@@ -124,6 +124,19 @@ def test_near_duplicates(spark, tmp_path, table, monkeypatch, small):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(got.index[got.kept])
 
 
+def test_near_duplicates_that_repeat_themselves(spark, tmp_path, table):
+    rng = random.Random(11)
+    texts = []
+    for n, times in itertools.product((60, 200), ((1, 2), (1, 3), (1, 5), (1, 10), (3, 12), (2, 10))):
+        for _ in range(3):
+            text = prose(rng, n)
+            texts += [" ".join([text] * r) for r in times]
+    path = table(tmp_path / "t", [(i, t, "s") for i, t in enumerate(texts)])
+    got = queries.op8_near_dedup(spark, path).toPandas().set_index("doc_id")
+    want = brute_classes(texts)
+    assert [got.class_id[i] for i in range(len(texts))] == want and len({*want}) < len(texts)
+
+
 def test_near_duplicates_on_odd_tables(odd, none):
     out = neardup.deduplicate(odd)
     assert out.columns == odd.columns and out.count() == odd.select("text").distinct().count() and neardup.deduplicate(none).count() == 0
