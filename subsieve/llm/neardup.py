@@ -1,4 +1,4 @@
-"""Near-duplicate detection by Order MinHash with verification by banded alignment.
+"""Near-duplicate detection by Order MinHash and order-free sketches with verification by banded alignment.
 
 Similarity of two texts: Jaccard index of their sets of five-word shingles (lower-cased A-Z, words between
 ASCII white space), 0.8 or more being a link. A text of one to four words has itself as its one shingle; a
@@ -6,13 +6,11 @@ text without words links only to equal texts.
 
 1. Equal texts (by md5) form a class with one representative; only representatives go on.
 2. Order MinHash: each of ``HASHES`` functions picks the ``PICK`` least occurrence-labelled shingles of a text
-   and keeps them in text order; the ordered tuple is one sketch value, equal for two texts with a chance of
-   about J ** PICK (0.41 at J = 0.8, so 24 functions miss a link with a chance of 3e-6). As the similarity
-   counts a shingle once, a text with repeated shingles has the same functions' values over its distinct shingles,
-   in the order of their first occurrence, as well: how often it repeats them plays no part. Order is part of it: a
-   text whose halves are swapped shares only functions that pick from one half, about one in eight, and is
-   found with a chance of about 0.95 instead. Texts of at most ``SHORT`` distinct shingles have a second set of sketches with two shingles
-   each, as four would be too many for them.
+   and keeps them in text order; the ordered tuple is one sketch value. The similarity knows neither order nor
+   repetition, so each function also picks the least of the text's distinct shingles, and these by their code
+   are a second value: equal for two texts with a chance of about J ** PICK whatever is moved or repeated (0.41
+   at J = 0.8, so 24 functions miss a link with a chance of 3e-6). Texts of at most ``SHORT`` distinct shingles
+   have a second set of sketches with two shingles each, as four would be too many for them.
 3. Texts with an equal sketch value are a bucket. No bucket is expanded into all its pairs: its members are
    compared with a representative (the least id), and verified links are joined to components. Larger buckets
    whose members stay apart are compared with another member, in a few rounds. Last, what is still apart is
@@ -92,18 +90,32 @@ def labelled(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def order_minhash(s: np.ndarray, seeds: np.ndarray, pick: int) -> np.ndarray:
-    """One value per seed from labelled shingles in text order."""
+def picks(s: np.ndarray, seeds: np.ndarray, pick: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Seeds (their place, and a column of them) done at once, and the places of the shingles that each picks, in text order."""
     n, k = len(s), min(pick, len(s))
-    out = np.empty(len(seeds), np.uint64)
-    step = max(1, 32_768 // n)  # functions done at once
+    step = max(1, 32_768 // n)
     for j in range(0, len(seeds), step):
         seed = seeds[j : j + step, None]
         h = (s[None, :] ^ seed) * ODD
         h ^= h >> np.uint64(32)
         at = np.sort(np.argpartition(h, k - 1, axis=1)[:, :k], axis=1) if n > k else np.broadcast_to(np.arange(n), h.shape)
-        out[j : j + step] = ((s[at] ^ seed) * POWERS[:k]).sum(1, dtype=np.uint64)
-    return scramble(out)
+        yield slice(j, j + step), seed, at
+
+
+def values(codes: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    return ((codes ^ seed) * POWERS[: codes.shape[1]]).sum(1, dtype=np.uint64)
+
+
+def minhash(s: np.ndarray, seeds: np.ndarray, pick: int, ordered: bool, free: bool) -> np.ndarray:
+    """For shingles in text order, none twice: one value per seed of the picks in text order, one of the picks by code, or both."""
+    out = np.empty((ordered + free, len(seeds)), np.uint64)
+    for done, seed, at in picks(s, seeds, pick):
+        codes = s[at]
+        if ordered:
+            out[0, done] = values(codes, seed)
+        if free:
+            out[-1, done] = values(np.sort(codes, axis=1), ~seed)
+    return scramble(out.ravel())
 
 
 def sketch(raw: bytes) -> np.ndarray:
@@ -113,10 +125,11 @@ def sketch(raw: bytes) -> np.ndarray:
         return s
     labels, once = labelled(s), first_places(s)
     out = []
-    for places in [labels] if len(once) == len(s) else [labels, once]:
-        out.append(order_minhash(places, SEEDS[:HASHES], PICK))
-        if len(once) <= SHORT:
-            out.append(order_minhash(places, SEEDS[HASHES:], SHORT_PICK))
+    for seeds, pick in [(SEEDS[:HASHES], PICK), (SEEDS[HASHES:], SHORT_PICK)][: 1 + (len(once) <= SHORT)]:
+        if len(once) == len(s):
+            out.append(minhash(s, seeds, pick, True, True))
+        else:
+            out += [minhash(labels, seeds, pick, True, False), minhash(once, seeds, pick, False, True)]
     return np.unique(np.concatenate(out))
 
 

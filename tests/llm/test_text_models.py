@@ -137,6 +137,20 @@ def test_near_duplicates_that_repeat_themselves(spark, tmp_path, table):
     assert [got.class_id[i] for i in range(len(texts))] == want and len({*want}) < len(texts)
 
 
+def test_near_duplicates_in_another_order(spark, tmp_path, table):
+    rng = random.Random(13)
+    texts = []
+    for count, n in ((2, 40), (2, 150), (5, 40), (8, 60), (12, 40)):
+        for _ in range(4):
+            paragraphs = [prose(rng, n) for _ in range(count)]
+            shuffled = rng.sample(paragraphs, count)
+            texts += [" ".join(p) for p in (paragraphs, paragraphs[::-1], shuffled, [*shuffled, *shuffled[::-1]])]
+    path = table(tmp_path / "t", [(i, t, "s") for i, t in enumerate(texts)])
+    got = queries.op8_near_dedup(spark, path).toPandas().set_index("doc_id")
+    want = brute_classes(texts)
+    assert [got.class_id[i] for i in range(len(texts))] == want and len({*want}) < len(texts)
+
+
 def test_near_duplicates_on_odd_tables(odd, none):
     out = neardup.deduplicate(odd)
     assert out.columns == odd.columns and out.count() == odd.select("text").distinct().count() and neardup.deduplicate(none).count() == 0
