@@ -148,13 +148,15 @@ def pairs(filters: DataFrame, queries: DataFrame, relation: str = "subset", stra
     return {"nested_loop": nested_loop, "mask_routed": mask_routed, "anchor": anchor, "tag_anchor": tag_anchor}[strategy](filters, queries, **options)
 
 
-def matching(filters: DataFrame, queries: DataFrame, found: bool = True) -> DataFrame:
-    """Queries that hold at least one set (first match, no pairs made), or hold none."""
-    f, q = _sides(filters.select(*WORDS), queries)
+def matching(filters: DataFrame, queries: DataFrame, found: bool = True, other: str | None = None) -> DataFrame:
+    """Queries that hold at least one set (first match, no pairs made), or hold none. With ``other``, a column of
+    ``filters``, a set whose value there is the query's ``qid`` does not count."""
+    f, q = _sides(filters.select(*WORDS, *([other] if other else [])), queries)
+    counts = F.col(other) != F.col("qid") if other else F.lit(True)
     if size_bound(f) > BROADCAST_BYTES:
-        hit = mask_routed(filters.select(*WORDS), queries).select("qid").distinct()
+        hit = mask_routed(f, queries).filter(counts).select("qid").distinct()
         return queries.join(hit, "qid", "left_semi" if found else "left_anti")
-    out = q.join(F.broadcast(f), _condition("subset"), "left_semi" if found else "left_anti")
+    out = q.join(F.broadcast(f), _condition("subset") & counts, "left_semi" if found else "left_anti")
     return out.withColumnsRenamed({f"q{k}": f"b{k}" for k in range(len(WORDS))})
 
 

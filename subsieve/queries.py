@@ -181,7 +181,7 @@ def users_around(spark, sf_dir):
 
 
 def first_match(spark: SparkSession, sf_dir: str, found: bool) -> DataFrame:
-    """Profiles that (don't) hold the bits of a profile of at most three kinds of events other than theirs."""
+    """Profiles that (don't) hold the bits of a profile of at most three kinds of events, their own among them."""
     p = coded(profiles(spark, sf_dir), "tags")
     small = p.filter(F.size("tags") <= 3).select(*WORDS)
     return match.matching(small, p.select(F.col("least").alias("qid"), *WORDS), found).select("qid")
@@ -200,6 +200,25 @@ def users_anti(spark, sf_dir):
     return first_match(spark, sf_dir, False)
 
 
+def other_match(spark: SparkSession, sf_dir: str, found: bool) -> DataFrame:
+    """Profiles that (don't) hold the bits of any other profile."""
+    p = coded(profiles(spark, sf_dir), "tags").select("least", *WORDS)
+    return match.matching(p, p.select(F.col("least").alias("qid"), *WORDS), found, other="least").select("qid")
+
+
+OTHER = USER_PAIRS + f", p AS (SELECT least, {POSITIONS.format('tags')} AS p FROM u) SELECT least AS qid FROM p b WHERE {{}} EXISTS (SELECT 1 FROM p a WHERE a.least <> b.least AND list_has_all(b.p, a.p))"
+
+
+@query(OTHER.format(""))
+def users_semi_whole(spark, sf_dir):
+    return other_match(spark, sf_dir, True)
+
+
+@query(OTHER.format("NOT"))
+def users_anti_whole(spark, sf_dir):
+    return other_match(spark, sf_dir, False)
+
+
 @query(f"""WITH {SQL_PARTS}, p AS (SELECT key, list_sort(tags) AS tags FROM parts)
     SELECT a.key AS key, CAST(count(*) AS BIGINT) AS same, min(b.key) AS least FROM p a JOIN p b ON a.tags = b.tags GROUP BY a.key""")
 def parts_equal(spark, sf_dir):
