@@ -118,10 +118,12 @@ BLOOM_COVER = f"""WITH {SQL_PARTS}, {SQL_ORDERS},
     SELECT qid, CAST(coalesce(n, 0) AS BIGINT) AS matches, CAST(coalesce(s, 0) AS BIGINT) AS key_sum FROM asked LEFT JOIN hits USING (qid)"""
 
 
-def bloom_cover(spark: SparkSession, sf_dir: str, strategy: str, **options) -> DataFrame:
-    """Matches of the bit sets of finished urgent orders among the parts' bit sets, false positives included."""
-    urgent = read(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").select(F.col("o_orderkey").alias("qid"))
-    asked = coded(orders(spark, sf_dir).join(urgent, "qid", "left_semi"), "query_tags").select("qid", *WORDS)
+def bloom_cover(spark: SparkSession, sf_dir: str, strategy: str, asked: DataFrame | None = None, **options) -> DataFrame:
+    """Matches of the bit sets of ``asked`` (finished urgent orders by default) among the parts' bit sets, false positives included."""
+    if asked is None:
+        urgent = read(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").select(F.col("o_orderkey").alias("qid"))
+        asked = orders(spark, sf_dir).join(urgent, "qid", "left_semi")
+    asked = coded(asked, "query_tags").select("qid", *WORDS)
     kinds = coded(parts(spark, sf_dir), "tags").groupBy(*WORDS).agg(F.count("*").alias("n"), F.sum("key").alias("s"))
     hits = match.pairs(kinds, asked, strategy=strategy, **options).groupBy("qid").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     return asked.select("qid").join(hits, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).cast("bigint").alias("matches"), F.coalesce("s", F.lit(0)).cast("bigint").alias("key_sum"))
@@ -142,6 +144,22 @@ def subset_anchor(spark, sf_dir):
     return bloom_cover(spark, sf_dir, "anchor")
 
 
+#: All orders against all parts; DuckDB is slow at so many list tests, the tests hold these against brute force.
+@query()
+def cover_nested_loop(spark, sf_dir):
+    return bloom_cover(spark, sf_dir, "nested_loop", orders(spark, sf_dir))
+
+
+@query()
+def cover_mask_routed(spark, sf_dir):
+    return bloom_cover(spark, sf_dir, "mask_routed", orders(spark, sf_dir), max_partition=100)
+
+
+@query()
+def cover_anchor(spark, sf_dir):
+    return bloom_cover(spark, sf_dir, "anchor", orders(spark, sf_dir))
+
+
 @query("""WITH b AS (SELECT item_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda w: w <> '')) AS words FROM benchmark),
     d AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split(lower(text), ' '), lambda w: w <> ''))) AS w FROM documents)
     SELECT doc_id, item_id FROM (SELECT item_id, unnest(words) AS w, len(words) AS n FROM b) JOIN d USING (w) GROUP BY doc_id, item_id, n HAVING count(*) = n""")

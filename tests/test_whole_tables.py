@@ -34,3 +34,19 @@ def test_semi_and_anti_match_every_other_profile(spark, tmp_path, monkeypatch, b
     monkeypatch.setattr(match, "BROADCAST_BYTES", bound) if bound > 0 else monkeypatch.setattr(match, "size_bound", lambda df: 1 + match.BROADCAST_BYTES)
     got = [sorted(r.qid for r in f(spark, str(tmp_path)).collect()) for f in (queries.QUERIES["users_semi_whole"], queries.QUERIES["users_anti_whole"])]
     assert got == [sorted(semi), sorted({*bits} - semi)]
+
+
+def test_every_strategy_covers_all_orders(spark, tmp_path):
+    rng = random.Random(6)
+    part = [(k, f"Brand#{rng.randrange(6)}", f"TYPE {rng.randrange(8)}", rng.randrange(1, 51)) for k in range(1, 121)]
+    lines = [(o, rng.randrange(1, 121)) for o in range(1, 151) for _ in range(rng.randrange(1, 8))]
+    orders = [(o, rng.choice(["1-URGENT", "2-HIGH", "5-LOW"]), rng.choice("FOP")) for o in range(1, 151)]
+    for name, rows, kind in (("part", part, "p_partkey bigint, p_brand string, p_type string, p_size int"), ("lineitem", lines, "l_orderkey bigint, l_partkey bigint"), ("orders", orders, "o_orderkey bigint, o_orderpriority string, o_orderstatus string")):
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    tags = {k: {tag(f"brand={b}"), tag(f"type={t}"), tag(f"size={s // 10}")} for k, b, t, s in part}
+    bits = {k: positions(t) for k, t in tags.items()}
+    asked = {o: positions({t for q, k in lines if q == o for t in tags[k]}) for o, *_ in orders}
+    want = sorted((o, len(held), sum(held)) for o, q in asked.items() for held in [[k for k, p in bits.items() if p <= q]])
+    for name in ("cover_nested_loop", "cover_mask_routed", "cover_anchor"):
+        got = sorted(tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect())
+        assert got == want and len(got) == 150
