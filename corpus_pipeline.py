@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subsieve.llm import bytebpe, mixing, neardup, quality, toxicity
+from subsieve.llm.common import fresh
 from subsieve.runtime import cut
 
 #: A document goes if its quality is scored below, or its toxicity not below, these thresholds.
@@ -42,7 +43,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs, mixing.cyclic(WEIGHTS), SHARDS).select(*docs.columns)
+    shard, place = fresh(docs, "shard", "place")
+    return mixing.shuffled(mixing.mixed(docs, mixing.cyclic(WEIGHTS), SHARDS), shard, place).select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

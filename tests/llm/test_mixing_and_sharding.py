@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from subsieve.llm import mixing, queries, sharding, topk
 
 
@@ -113,3 +114,16 @@ def test_codes(spark):
     rows = [(None,), ([],), ([1.0, -1.0, 0.0, None, float("nan"), 2.0],), ([0.5] * 64,)]
     df = spark.createDataFrame(rows, "v array<float>")
     assert [r[0] for r in df.select(topk.sign_code("v")).collect()] == [None, 0, 1 + 32, -1]
+
+
+def test_the_pipeline_shuffles_its_mix_by_shard(spark):
+    docs = spark.range(400).selectExpr("id as doc_id", "concat('some words of ', id) as text", "'en' as lang", "concat('s', id % 3) as source", "20L as n_chars")
+    at = {(r.doc_id, r.shard): r.place for r in mixing.mixed(docs, mixing.cyclic(corpus_pipeline.WEIGHTS), corpus_pipeline.SHARDS).collect()}
+    shards = {}
+    for doc, shard in at:
+        shards.setdefault(doc, set()).add(shard)
+    once = {doc: next(iter(s)) for doc, s in shards.items() if len(s) == 1}
+    parts = corpus_pipeline.mix_sources(spark, docs, "").select("doc_id").rdd.glom().collect()
+    got = [[(once[r.doc_id], at[r.doc_id, once[r.doc_id]]) for r in p if r.doc_id in once] for p in parts]
+    assert all(p == sorted(p) for p in got) and sum(map(len, got)) >= len(once) > 0
+    assert all(len({k for k, p in enumerate(got) if any(s == x for x, _ in p)}) == 1 for s in set(once.values()))
