@@ -6,25 +6,29 @@ former bit, with counts of ones before every 64 bytes of a plane. Token access,
 place, and finding an id's k-th occurrence take one rank or select per plane, without unpacking the rest.
 The file is compressed as a whole and says which documents it holds and where each ends.
 
-Shards are made on range partitions of the ids of documents: each task reads its documents in order and
-closes a shard when it holds ``shard_tokens``, so memory is bounded by a shard whatever the partition. The
-files travel as a binary column and are written and reread as a table by Spark, so any file system will do.
+Texts are encoded where they are read and only their token ids are shuffled. Shards are made on range
+partitions of the ids of documents: each task reads its documents in order and closes a shard when it holds
+``shard_tokens``, so memory is bounded by a shard whatever the partition. The files travel as a binary column
+and are written and reread as a table by Spark, so any file system will do.
 
 Defined results: a null text counts as empty and has the end id alone; documents with null ids come last;
-documents of equal id stand in an unspecified but stored order; a document longer than a shard is a shard of
-its own; an empty table has no shards.
+documents of equal id, repeated rows too, stand in the order in which they are read, and any number of them is
+dealt over several ranges; a very long document is read whole and makes a shard that is longer than others; an
+empty table has no shards; columns beside id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
+import json
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -179,81 +183,183 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
+#: What a definition must say, as fixed values, for texts to be encoded piece by piece: a lower-casing byte-level
+#: tokenizer whose pattern matches no white space.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def by_words(definition: str) -> bool:
+    """Whether a tokenizer may be given the pieces between white space one by one: its steps are those of
+    ``BY_WORDS`` and its added tokens are matched as they stand, start with ``<|`` and hold no white space."""
+    said = json.loads(definition)
+    plain = all(not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) and t["content"].startswith("<|") and len(t["content"].split()) == 1 for t in said["added_tokens"])
+    return plain and said.get("truncation") is None and said["model"].get("dropout") is None and all(said[k] == v for k, v in BY_WORDS.items())
+
+
 class WordEncoder:
-    """Ids of texts by a lower-casing byte-level tokenizer of the tokenizers library whose tokens never cross white space.
+    """Ids of texts by a tokenizer of the tokenizers library.
 
-    Texts are cut at ASCII white space and each distinct piece is encoded once per worker while the bounded
-    cache holds it. Pieces of ASCII and Latin-1 letters, digits and marks are cut as the tokenizer's pattern
-    cuts them and go to its model directly; all others, and those with an apostrophe or what may be a special
-    token, go through its whole pipeline."""
+    If the definition allows it (``by_words``), many texts are cut at once, by array operations on their bytes:
+    at ASCII white space, and words of ASCII and Latin-1 letters, digits and marks also as the tokenizer's
+    pattern cuts them. Distinct pieces are encoded once each, a bounded cache keeping them between calls, and
+    their ids are laid out. Words with other characters, an apostrophe or what may be a special token stay
+    whole and go through the library's whole pipeline. Other definitions encode whole texts."""
 
-    CACHE = 300_000
-    PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+").fullmatch
-    PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
+    CACHE = 250_000
+    #: Classes of bytes: white space, letters (of two bytes too), digits, other marks, and what keeps a word whole.
+    SPACE, LETTER, DIGIT, MARK, WHOLE = range(5)
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        self.by_words = by_words(definition)
         self.model = self.tokenizer.model.tokenize
         self.chars = byte_chars()
-        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _part(self, part: str) -> bytes:
-        if (raw := self.parts.get(part)) is None:
-            spelt = part if part.isascii() else "".join(map(self.chars.__getitem__, part.encode()))
-            raw = array("I", [t.id for t in self.model(spelt)]).tobytes()
-            if len(self.parts) >= self.CACHE:
-                self.parts.clear()
-            self.parts[part] = raw
-        return raw
-
-    def _word(self, word: bytes) -> bytes:
-        if (raw := self.older.get(word)) is None:
-            text = word.decode()
-            if self.PLAIN(text) and "<|" not in text:
-                raw = b"".join(map(self._part, self.PARTS(text.lower())))
+        kinds = np.full(256, self.WHOLE, np.uint8)
+        kinds[33:127] = self.MARK
+        for kind, chars in ((self.SPACE, b" \t\n\v\f\r"), (self.LETTER, b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), (self.DIGIT, b"0123456789"), (self.WHOLE, b"'<")):
+            kinds[[*chars]] = kind
+        self.kinds = kinds
+
+    def _piece(self, piece: bytes) -> bytes:
+        """Ids of a word that was kept whole (it starts with a byte of no character) or of a part of a word."""
+        if (raw := self.older.get(piece)) is None:
+            if piece[0] == 255:
+                ids = self.tokenizer.encode(piece[1:].decode(), add_special_tokens=False).ids
             else:
-                raw = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(word) <= 64:
-            if len(self.words) >= self.CACHE:
-                self.older, self.words = self.words, {}
-            self.words[word] = raw
+                ids = [t.id for t in self.model(piece.decode() if piece.isascii() else "".join(map(self.chars.__getitem__, piece)))]
+            raw = array("I", ids).tobytes()
+        if len(piece) <= 64:
+            if len(self.pieces) >= self.CACHE:
+                self.older, self.pieces = self.pieces, {}
+            self.pieces[piece] = raw
         return raw
 
-    def encode(self, raw: bytes) -> bytes:
-        """Ids of a UTF-8 text as little-endian unsigned 32-bit integers."""
-        return b"".join([r if (r := self.words.get(w)) is not None else self._word(w) for w in raw.lower().split()])
+    def _cut(self, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where pieces start, where bytes are of none, and all bytes lower-cased, with 255 for the space before a word that stays whole.
+
+        ``joined`` starts and ends with a space."""
+        kinds = self.kinds[joined]
+        second = np.flatnonzero(joined == 0xC3) + 1  # Latin-1 letters have this first byte; of their marks two are signs
+        second = second[(joined[second] != 0x97) & (joined[second] != 0xB7)]
+        kinds[second] = kinds[second - 1] = self.LETTER
+        low = joined.copy()
+        capital = (joined >= 65) & (joined <= 90)
+        low[capital] |= 32
+        low[second[joined[second] < 0x9F]] |= 32
+        space = kinds == self.SPACE
+        start = kinds[1:] != kinds[:-1]
+        start |= kinds[1:] == self.DIGIT
+        start[space[1:]] = False
+        start = np.append(False, start)
+        gaps = np.flatnonzero(space)
+        odd = np.unique(np.searchsorted(gaps, np.flatnonzero(kinds == self.WHOLE)))
+        for a, z in zip(gaps[odd - 1].tolist(), gaps[odd].tolist(), strict=True):
+            start[a] = True
+            start[a + 1 : z] = False
+            low[a], low[a + 1 : z] = 255, joined[a + 1 : z]
+            space[a] = False
+        return start, space, low
+
+    def encode(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of UTF-8 texts one after another, and where each text's ids end."""
+        if not self.by_words:
+            each = [self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids for raw in raws]
+            return np.array([i for ids in each for i in ids], np.uint32), np.cumsum([len(ids) for ids in each], dtype=np.int64)
+        joined = np.frombuffer(b" ".join([b"", *raws, b""]), np.uint8)
+        start, space, low = self._cut(joined)
+        starts = np.flatnonzero(start)
+        dense = low[~space]
+        offsets = np.append(np.flatnonzero(start[~space]), len(dense)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(dense)]).dictionary_encode()
+        which = pieces.indices.to_numpy()
+        found = [r if (r := self.pieces.get(w)) is not None else self._piece(w) for w in pieces.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        size = sizes[which]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        place = np.repeat((np.cumsum(sizes) - sizes)[which] - upto[:-1], size) + np.arange(upto[-1])
+        # a text's words lie after the space before it; a word that stays whole starts at that space
+        text_ends = np.cumsum([len(raw) + 1 for raw in raws])
+        return np.frombuffer(b"".join(found), "<u4")[place], upto[np.searchsorted(starts, text_ends)]
+
+
+@lru_cache(1)
+def encoder(definition: str) -> WordEncoder:
+    """One encoder per worker process, whatever the number of its tasks."""
+    return WordEncoder(definition)
+
+
+#: Bytes of text that are encoded at once (a longer text is encoded alone).
+AT_ONCE = 4 << 20
+
+
+def slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs (start, end) of texts of about ``AT_ONCE`` bytes."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // AT_ONCE)) + 1
+    yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(column)], strict=True)
+
+
+def encoded(docs: DataFrame, definition: str, bits: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, place, ids): a document's ids and the end id, little-endian in 2 bytes each, or in 4 where ``bits`` needs
+    them; ``place`` tells rows apart."""
+    kind = "<u2" if bits <= 16 else "<u4"
+    shared = docs.sparkSession.sparkContext.broadcast(definition)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, place = encoder(shared.value), TaskContext.get().partitionId() << 40
+        for b in batches:
+            for a, z in slices(b.column(1)):
+                ids, ends = coder.encode(blobs(b.column(1).slice(a, z - a)))
+                if len(ids) and int(ids.max()) >> bits:
+                    raise ValueError(f"an id needs more than {bits} bits")
+                data = np.insert(ids.astype(kind), ends, end_id).tobytes()
+                ends = (ends + np.arange(1, z - a + 1)) * int(kind[2])
+                offsets = np.concatenate([[0], ends]).astype(np.int32)
+                held = pa.Array.from_buffers(pa.binary(), z - a, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(np.arange(place, place + z - a)), held], names=["key", "place", "ids"])
+                place += z - a
+
+    return arrow_map(docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")), run, "key bigint, place bigint, ids binary")
 
 
-def write_shards(docs: DataFrame, definition: str, bits: int, end_id: int, key: str = "doc_id", text: str = "text", shard_tokens: int = 3_000_000, partition_bytes: int = 64 << 20) -> DataFrame:
+def write_shards(docs: DataFrame, definition: str, bits: int, end_id: int, key: str = "doc_id", text: str = "text", shard_tokens: int = 3_000_000, partition_bytes: int = 32 << 20) -> DataFrame:
     """(part, seq, n_tokens, n_docs, file): shard files of ``docs`` in ascending ``key`` order, as a table in the shared folder.
 
-    One shuffle of the texts by range; ``definition`` is the tokenizer's JSON text."""
-    source = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    size = source.agg(F.sum(n_bytes("text"))).first()[0] or 0
-    order = F.col("key").asc_nulls_last()
-    dealt = source.repartitionByRange(max(1, -(-size // partition_bytes)), order).sortWithinPartitions(order)
-    shared = docs.sparkSession.sparkContext.broadcast(definition)
+    Texts are encoded where they are read; one shuffle by range moves their ids. ``definition`` is the tokenizer's JSON text."""
+    rows = cut(encoded(docs, definition, bits, end_id, key, text))
+    kind = "<u2" if bits <= 16 else "<u4"
+    size = rows.agg(F.sum(n_bytes("ids"))).first()[0] or 0
+    # place is part of the order, so that many rows without an id, or with the same, are dealt over several ranges
+    order = [F.col("key").asc_nulls_last(), F.col("place").asc()]
+    dealt = rows.repartitionByRange(max(1, -(-size // partition_bytes)), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = WordEncoder(shared.value), struct.pack("<I", end_id)
         part, seq, held, ends, keys, size = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def shard() -> pa.RecordBatch:
             nonlocal seq, held, ends, keys, size
-            file = dump(np.frombuffer(b"".join(held), "<u4"), np.array(ends), keys, bits)
+            file = dump(np.frombuffer(b"".join(held), kind), np.array(ends), keys, bits)
             made = [pa.array([x], kind) for x, kind in ((part, pa.int32()), (seq, pa.int32()), (size, pa.int64()), (len(keys), pa.int64()), (file, pa.binary()))]
             seq, held, ends, keys, size = seq + 1, [], [], [], 0
             return pa.RecordBatch.from_arrays(made, names=["part", "seq", "n_tokens", "n_docs", "file"])
 
         for b in batches:
-            for k, raw in zip(b.column(0).to_pylist(), blobs(b.column(1)), strict=True):
-                ids = coder.encode(raw)
-                held += [ids, end]
-                size += len(ids) // 4 + 1
+            for k, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held.append(ids)
+                size += len(ids) // int(kind[2])
                 ends.append(size)
                 keys.append(k)
                 if size >= shard_tokens:
@@ -261,7 +367,7 @@ def write_shards(docs: DataFrame, definition: str, bits: int, end_id: int, key:
         if keys:
             yield shard()
 
-    return cut(arrow_map(dealt, run, "part int, seq int, n_tokens bigint, n_docs bigint, file binary"))
+    return cut(arrow_map(dealt.select("key", "ids"), run, "part int, seq int, n_tokens bigint, n_docs bigint, file binary"))
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -278,8 +384,11 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(made, names=["part", "seq", "key", "at", "n_tokens", "ids_crc32"])
 
     found = arrow_map(shards.select("part", "seq", "file"), run, "part int, seq int, key bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
-    sizes = shards.select("part", "seq", "n_tokens")
-    before = sizes.select("part", "seq", (F.sum("n_tokens").over(Window.orderBy("part", "seq")) - F.col("n_tokens")).alias("before"))
+    # two levels of running totals, so that no task adds up all shards
+    sizes = shards.select("part", "seq", "n_tokens", F.shiftright("part", 10).alias("block"))
+    blocks = sizes.groupBy("block").agg(F.sum("n_tokens").alias("total")).select("block", (F.sum("total").over(Window.orderBy("block")) - F.col("total")).alias("ahead"))
+    inside = F.sum("n_tokens").over(Window.partitionBy("block").orderBy("part", "seq")) - F.col("n_tokens")
+    before = sizes.withColumn("inside", inside).join(blocks, "block").select("part", "seq", (F.col("ahead") + F.col("inside")).alias("before"))
     if sizes.count() <= BROADCAST_SHARDS:
         before = F.broadcast(before)
     return found.join(before, ["part", "seq"]).select("key", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

@@ -1,12 +1,15 @@
 import hashlib
+import json
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from conftest import TEXTS
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from subsieve.llm import bytebpe, media, tokenfile
@@ -118,10 +121,45 @@ def definition():
         return f.read()
 
 
-def test_word_encoder_is_the_librarys(definition):
+def test_word_encoder_is_the_librarys(definition, monkeypatch):
     coder, known = tokenfile.WordEncoder(definition), Tokenizer.from_str(definition)
-    for t in [*random_texts(3000, 4), *(t for t in TEXTS if t)]:
-        assert np.frombuffer(coder.encode(t.encode()), "<u4").tolist() == known.encode(t, add_special_tokens=False).ids, t
+    given = [*random_texts(3000, 4), *(t or "" for t in TEXTS), "<|ENDOFTEXT|> x<|startoftext|>y <|x|>", "a\x00b", "É́ é ́x", "÷ × Ã— a÷b c×d ÞþÿÖ ÆØß Ÿ", "'", " ' < <b> x<", "a1b22c..d!!É9é"]
+    want = [known.encode(t, add_special_tokens=False).ids for t in given]
+    assert tokenfile.by_words(definition) and coder.by_words
+
+    def encoded(texts):
+        ids, ends = coder.encode([t.encode() for t in texts])
+        return [ids[a:z].tolist() for a, z in zip([0, *ends[:-1]], ends, strict=True)]
+
+    assert encoded(given) == want and encoded([""]) == [[]] and [encoded([t])[0] for t in given[::50]] == want[::50]
+    monkeypatch.setattr(tokenfile.WordEncoder, "CACHE", 3)
+    coder.pieces, coder.older = {}, {}
+    assert encoded(given) == want and len(coder.pieces) <= 3
+
+
+def test_other_definitions_encode_whole_texts(definition):
+    said = json.loads(definition)
+    said["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\s?[\p{L}]+|[^\p{L}]+"
+    other = json.dumps(said)
+    coder, known = tokenfile.WordEncoder(other), Tokenizer.from_str(other)
+    given = [t or "" for t in TEXTS]
+    ids, ends = coder.encode([t.encode() for t in given])
+    assert not coder.by_words and ids.tolist() == [i for t in given for i in known.encode(t, add_special_tokens=False).ids] and len(ends) == len(given)
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 20])
+def test_slices(at_once, monkeypatch):
+    monkeypatch.setattr(tokenfile, "AT_ONCE", at_once)
+    column = pa.array(["abc", None, "", "x" * 30, "yy"])
+    runs = [*tokenfile.slices(column)]
+    assert [i for a, z in runs for i in range(a, z)] == [*range(5)] and (at_once > 7 or len(runs) > 1)
+
+
+def test_many_rows_without_an_id(spark, definition):
+    docs = spark.range(2000).select(F.lit(None).cast("bigint").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    shards = tokenfile.write_shards(docs, definition, 16, 1, partition_bytes=1000)
+    assert shards.select("part").distinct().count() > 4
+    assert tokenfile.read_shards(shards).agg(F.count("*"), F.countDistinct("start")).first()[:] == (2000, 2000)
 
 
 @pytest.mark.parametrize("shard_tokens", [5, 3_000_000])
