@@ -64,7 +64,7 @@ class WaveletMatrix:
             planes.append(plane)
             ranks.append(cls.directory(plane))
             zeros.append(len(seq) - int(one.sum()))
-            seq = np.concatenate([seq[~one], seq[one]])
+            seq = np.concatenate([np.compress(~one, seq), np.compress(one, seq)])
         return cls(len(ids), planes, zeros, ranks)
 
     @staticmethod
@@ -135,8 +135,8 @@ class WaveletMatrix:
             one = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
             back = np.empty(self.n, kind)
             z = self.zeros[k]
-            back[~one] = seq[:z]
-            back[one] = seq[z:] | kind(1 << (self.bits - 1 - k))
+            back[np.flatnonzero(~one)] = seq[:z]
+            back[np.flatnonzero(one)] = seq[z:] | kind(1 << (self.bits - 1 - k))
             seq = back
         return seq
 
@@ -205,6 +205,10 @@ def by_words(definition: str) -> bool:
     return plain and said.get("truncation") is None and said["model"].get("dropout") is None and all(said[k] == v for k, v in BY_WORDS.items())
 
 
+#: Bytes of text that are encoded at once, about.
+AT_ONCE = 8 << 20
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer of the tokenizers library.
 
@@ -278,6 +282,22 @@ class WordEncoder:
         if not self.by_words:
             each = [self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids for raw in raws]
             return np.array([i for ids in each for i in ids], np.uint32), np.cumsum([len(ids) for ids in each], dtype=np.int64)
+        runs = [self._run([raw]) if len(raw) <= AT_ONCE else self._long(raw) for raw in raws] if sum(map(len, raws)) > 2 * AT_ONCE else [self._run(raws)]
+        ahead = np.cumsum([0, *(ends[-1] for _, ends in runs)][:-1] if runs else [], dtype=np.int64)
+        return np.concatenate([ids for ids, _ in runs]), np.concatenate([ends + a for (_, ends), a in zip(runs, ahead, strict=True)])
+
+    def _long(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """A very long text, cut at spaces into pieces of about ``AT_ONCE`` bytes."""
+        at, ids = 0, []
+        while at < len(raw):
+            end = raw.find(b" ", at + AT_ONCE)
+            end = len(raw) if end < 0 else end
+            ids.append(self._run([raw[at:end]])[0])
+            at = end
+        all_ = np.concatenate(ids)
+        return all_, np.array([len(all_)])
+
+    def _run(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         joined = np.frombuffer(b" ".join([b"", *raws, b""]), np.uint8)
         start, space, low = self._cut(joined)
         starts = np.flatnonzero(start)
@@ -286,13 +306,16 @@ class WordEncoder:
         pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(dense)]).dictionary_encode()
         which = pieces.indices.to_numpy()
         found = [r if (r := self.pieces.get(w)) is not None else self._piece(w) for w in pieces.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
         size = sizes[which]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        place = np.repeat((np.cumsum(sizes) - sizes)[which] - upto[:-1], size) + np.arange(upto[-1])
+        upto = np.zeros(len(size) + 1, np.int64 if len(joined) >> 30 else np.int32)
+        np.cumsum(size, out=upto[1:])
+        first = np.cumsum(sizes, dtype=upto.dtype) - sizes
+        place = np.repeat(first[which] - upto[:-1], size)
+        place += np.arange(len(place), dtype=place.dtype)
         # a text's words lie after the space before it; a word that stays whole starts at that space
         text_ends = np.cumsum([len(raw) + 1 for raw in raws])
-        return np.frombuffer(b"".join(found), "<u4")[place], upto[np.searchsorted(starts, text_ends)]
+        return np.frombuffer(b"".join(found), "<u4")[place], upto[np.searchsorted(starts, text_ends)].astype(np.int64)
 
 
 @lru_cache(1)
@@ -301,10 +324,6 @@ def encoder(definition: str) -> WordEncoder:
     return WordEncoder(definition)
 
 
-#: Bytes of text that are encoded at once (a longer text is encoded alone).
-AT_ONCE = 4 << 20
-
-
 def slices(column: pa.Array) -> Iterator[tuple[int, int]]:
     """Runs (start, end) of texts of about ``AT_ONCE`` bytes."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1

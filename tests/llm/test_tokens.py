@@ -135,6 +135,8 @@ def test_word_encoder_is_the_librarys(definition, monkeypatch):
     monkeypatch.setattr(tokenfile.WordEncoder, "CACHE", 3)
     coder.pieces, coder.older = {}, {}
     assert encoded(given) == want and len(coder.pieces) <= 3
+    monkeypatch.setattr(tokenfile, "AT_ONCE", 2)
+    assert encoded(given) == want
 
 
 def test_other_definitions_encode_whole_texts(definition):
