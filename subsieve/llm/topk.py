@@ -4,8 +4,10 @@ A code of ``bits`` bits is cut into m segments; two codes at distance d agree, i
 floor(d / m). Searching all segments within radius s therefore meets every code at distance up to
 m * (s + 1) - 1. The radius grows by one per round: queries probe the segment values at exactly the new radius
 (an equi-join of probes with the index, no scan), candidates are verified on whole codes, and a query ends as
-soon as its kth verified distance is covered. m follows the number of distinct codes (segments of about its
-logarithm), as the method's authors advise.
+soon as its kth verified distance is covered. m follows the number of distinct codes in two steps (segments of
+16 or about 22 bits; the method's authors advise about the logarithm of the number), so that the probes of a
+radius grow with the queries alone. Probes first meet the values that some code has; a value that very many
+codes have is dealt over several join keys.
 
 Equal codes are one index entry that keeps its k least ids: more can be in no answer. Equal query codes are
 searched once. A pair that several segments or radii would find is emitted only by the first one, decided by
@@ -26,6 +28,9 @@ from pyspark.sql import functions as F
 
 from subsieve.runtime import cut
 
+#: Codes with one value of a segment that wait at one join key.
+HOT = 4096
+
 
 def sign_code(vector: str | Column, bits: int = 64) -> Column:
     """A 64-bit integer whose bit i says whether element i is above zero."""
@@ -38,9 +43,9 @@ def sign_code(vector: str | Column, bits: int = 64) -> Column:
 
 
 def segments(bits: int, n_codes: int) -> list[tuple[int, int]]:
-    """(shift, width) of the segments for an index of so many codes."""
-    m = max(1, min(bits, round(bits / max(1.0, math.log2(max(n_codes, 2))))))
-    m = max(m, -(-bits // 24))  # so that a segment's probes stay few
+    """(shift, width) of the segments for an index of so many codes: 16 bits each, or 22 where more than 2 ** 20
+    codes make values of 16 bits too common. A radius asks for equally many probes of a query at every size between."""
+    m = max(1, round(bits / (16 if n_codes <= 1 << 20 else 21.4)))
     edges = [bits * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
@@ -71,7 +76,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, key
     segs = segments(bits, n)
     m = len(segs)
     parts = index.select("c", F.size("ids").alias("n"), F.posexplode(F.array(*(_segment(F.col("c"), *s) for s in segs))).alias("j", "value"))
-    parts = cut(parts)
+    # a value that very many codes have is dealt over several keys, on which the probes that meet it are repeated
+    held = cut(parts.groupBy("j", "value").agg(F.ceil(F.count("*") / HOT).cast("int").alias("deals")))
+    parts = cut(parts.join(held, ["j", "value"]).select("c", "n", "j", "value", F.pmod(F.xxhash64("c"), F.col("deals")).cast("int").alias("deal")))
     active = asked.select("q").distinct()
     best = answers = None
     for s in range(max(w for _, w in segs) + 1):
@@ -82,7 +89,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, key
             own = _segment(F.col("q"), shift, width)
             p = active.select("q", own.alias("own"), F.explode(masks(width, s)).alias("mask")).select("q", F.lit(j).alias("j"), F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
             probes = p if probes is None else probes.unionAll(p)
-        found = probes.join(parts, ["j", "value"])
+        met = probes.join(held, ["j", "value"])  # probes of values that no code has end here
+        found = met.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals").join(parts, ["j", "value", "deal"])
         # segment distances decide which probe reports a pair: the first segment at radius s, none being nearer
         first = F.lit(True)
         for j, (shift, width) in enumerate(segs):
