@@ -1,29 +1,33 @@
-"""Near-duplicate detection by Order MinHash and order-free sketches with verification by banded alignment.
+"""Near-duplicate detection by Order MinHash with verification by banded alignment.
 
-Similarity of two texts: Jaccard index of their sets of five-word shingles (lower-cased A-Z, words between
-ASCII white space), 0.8 or more being a link. A text of one to four words has itself as its one shingle; a
-text without words links only to equal texts.
+Two texts are linked if an alignment in order covers 0.8 of the longer text's words by common five-word shingles
+(words lower-cased A-Z, between ASCII white space; a shingle's second occurrence is apart from its first), or if
+the Jaccard index of their sets of shingles is 0.8 or more, which knows neither order nor repetition. A text of one
+to four words has itself as its one shingle; a text without words links only to equal texts.
 
 1. Equal texts (by md5) form a class with one representative; only representatives go on.
 2. Order MinHash: each of ``HASHES`` functions picks the ``PICK`` least occurrence-labelled shingles of a text
-   and keeps them in text order; the ordered tuple is one sketch value. The similarity knows neither order nor
-   repetition, so each function also picks the least of the text's distinct shingles, and these by their code
-   are a second value: equal for two texts with a chance of about J ** PICK whatever is moved or repeated (0.41
-   at J = 0.8, so 24 functions miss a link with a chance of 3e-6). Texts of at most ``SHORT`` distinct shingles
-   have a second set of sketches with two shingles each, as four would be too many for them.
+   and keeps them in text order; the ordered tuple is one sketch value. For texts whose passages are moved or
+   repeated, each function also picks the ``FREE_PICK`` least of the text's distinct shingles, and these by their
+   code are a second value: equal with a chance of J ** FREE_PICK in any order (0.41 at J = 0.8, so 24 functions
+   miss such a link with a chance of 3e-6). In texts that are alike in order, scattered edits leave a lower J; the
+   first values then agree with a chance of about J ** PICK each (J = 0.6: missed with 0.003; 0.5: 0.04; edits in
+   one word of ten: J = 0.42). Texts of at most ``SHORT`` distinct shingles have a second set of sketches with two
+   shingles each.
 3. Texts with an equal sketch value are a bucket. No bucket is expanded into all its pairs: its members are
    compared with a representative (the least id), and verified links are joined to components. Larger buckets
    whose members stay apart are compared with another member, in a few rounds. Last, what is still apart is
    compared exactly: all pairs across components within buckets of at most ``SMALL`` members, and between the
    texts of larger buckets (those that share a common passage, say) all pairs that the prefix filter leaves,
-   which is exact for the similarity. So no link within a bucket is lost; within a component none is needed.
-4. A pair is verified by aligning its shingles within the band that the threshold leaves open; texts with
-   moved passages, which the alignment refuses, are then tested by their exact Jaccard index.
+   which is exact for the index of 0.8. Within a component no link is needed.
+4. A pair is verified by chaining its common shingles in order, within the band that the threshold leaves open.
+   What the alignment refuses, texts with moved passages, is then tested by its exact Jaccard index.
 5. Components by minimum propagation with pointer jumping on tables in the shared folder; no fingerprints,
    links or components come to the driver.
 
-Defined results: null text counts as a text of its own kind, equal to other nulls; empty texts are equal;
-null ids rank last as class names; rows with equal id and text are one row of the class.
+Defined results: null text counts as a text of its own kind, equal to other nulls; empty texts are equal; very long
+texts are read whole; null ids rank last as class names; rows with equal id and text are one row of the class;
+``deduplicate`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,11 +43,11 @@ from pyspark.sql import functions as F
 
 from subsieve.runtime import cut
 
-from .common import arrow_map, blobs
+from .common import arrow_map, blobs, fresh
 from .linear import Cache
 
 WORDS, SIMILARITY = 5, 0.8
-HASHES, PICK = 24, 4
+HASHES, PICK, FREE_PICK = 24, 3, 4
 SHORT, SHORT_HASHES, SHORT_PICK = 80, 16, 2
 #: Rounds of comparison: by representatives, the last in all pairs that are still open.
 ROUNDS = 3
@@ -90,32 +94,26 @@ def labelled(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def picks(s: np.ndarray, seeds: np.ndarray, pick: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """Seeds (their place, and a column of them) done at once, and the places of the shingles that each picks, in text order."""
-    n, k = len(s), min(pick, len(s))
+def values(codes: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    return ((codes ^ seed) * POWERS[: codes.shape[1]]).sum(1, dtype=np.uint64)
+
+
+def minhash(s: np.ndarray, seeds: np.ndarray, ordered: int, free: int) -> np.ndarray:
+    """For shingles in text order, none twice, a value per seed of the ``ordered`` least in text order and one of the
+    ``free`` least by code; none of a kind whose number is 0."""
+    n, out = len(s), []
     step = max(1, 32_768 // n)
     for j in range(0, len(seeds), step):
         seed = seeds[j : j + step, None]
         h = (s[None, :] ^ seed) * ODD
         h ^= h >> np.uint64(32)
-        at = np.sort(np.argpartition(h, k - 1, axis=1)[:, :k], axis=1) if n > k else np.broadcast_to(np.arange(n), h.shape)
-        yield slice(j, j + step), seed, at
-
-
-def values(codes: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    return ((codes ^ seed) * POWERS[: codes.shape[1]]).sum(1, dtype=np.uint64)
-
-
-def minhash(s: np.ndarray, seeds: np.ndarray, pick: int, ordered: bool, free: bool) -> np.ndarray:
-    """For shingles in text order, none twice: one value per seed of the picks in text order, one of the picks by code, or both."""
-    out = np.empty((ordered + free, len(seeds)), np.uint64)
-    for done, seed, at in picks(s, seeds, pick):
-        codes = s[at]
+        least = sorted({k - 1 for k in (ordered, free) if k})
+        at = np.argpartition(h, least, axis=1)[:, : least[-1] + 1] if n > least[-1] + 1 else np.argsort(h, axis=1)
         if ordered:
-            out[0, done] = values(codes, seed)
+            out.append(values(s[np.sort(at[:, :ordered], axis=1)], seed))
         if free:
-            out[-1, done] = values(np.sort(codes, axis=1), ~seed)
-    return scramble(out.ravel())
+            out.append(values(np.sort(s[at[:, :free]], axis=1), ~seed))
+    return scramble(np.concatenate(out))
 
 
 def sketch(raw: bytes) -> np.ndarray:
@@ -125,11 +123,8 @@ def sketch(raw: bytes) -> np.ndarray:
         return s
     labels, once = labelled(s), first_places(s)
     out = []
-    for seeds, pick in [(SEEDS[:HASHES], PICK), (SEEDS[HASHES:], SHORT_PICK)][: 1 + (len(once) <= SHORT)]:
-        if len(once) == len(s):
-            out.append(minhash(s, seeds, pick, True, True))
-        else:
-            out += [minhash(labels, seeds, pick, True, False), minhash(once, seeds, pick, False, True)]
+    for seeds, ordered, free in [(SEEDS[:HASHES], PICK, FREE_PICK), (SEEDS[HASHES:], SHORT_PICK, SHORT_PICK)][: 1 + (len(once) <= SHORT)]:
+        out += [minhash(s, seeds, ordered, free)] if len(once) == len(s) else [minhash(labels, seeds, ordered, 0), minhash(once, seeds, 0, free)]
     return np.unique(np.concatenate(out))
 
 
@@ -138,37 +133,68 @@ def first_places(s: np.ndarray) -> np.ndarray:
     return s[np.sort(np.unique(s, return_index=True)[1])]
 
 
+def chain(places: np.ndarray) -> np.ndarray:
+    """Where a longest increasing run of ``places`` (no two equal) stands among them."""
+    if (places[1:] > places[:-1]).all():
+        return np.arange(len(places))
+    tails: list[int] = []  # the least last place of a run of each length, and where it stands
+    ends: list[int] = []
+    before = []
+    for k, x in enumerate(places.tolist()):
+        at = bisect_left(tails, x)
+        before.append(ends[at - 1] if at else -1)
+        tails[at : at + 1], ends[at : at + 1] = [x], [k]
+    out, k = [], ends[-1]
+    while k >= 0:
+        out.append(k)
+        k = before[k]
+    return np.array(out[::-1])
+
+
 def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """In-order Jaccard index of two lists of distinct shingles: matches on a longest common subsequence, over the union.
+    """Share of the longer text's words that an alignment covers, of two lists of labelled shingles in text order.
 
-    Only matches in the band count that an alignment with an index of ``least`` can touch: leaving out more than
-    len(a) - m places of a or len(b) - m of b, m being the matches needed, can't reach it. Within lists of distinct
-    codes the longest common subsequence is the longest increasing run of places, found by bisection."""
-    na, nb = len(a), len(b)
-    need = least / (1 + least) * (na + nb)
+    The alignment is a longest chain of common shingles in both orders, within the band that a share of ``least``
+    can touch; a shingle covers its five words. Below ``least`` the result may be too low."""
+    na, nb = len(a) + WORDS - 1, len(b) + WORDS - 1
+    need = least * max(na, nb)
     if need > min(na, nb):
         return 0.0
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    if WORDS * len(i) < need:
+        return 0.0
     off = j - i
-    band = (off >= -(na - need)) & (off <= nb - need)
-    tails: list[int] = []
-    places = j[band][np.argsort(i[band])]
-    for x in places.tolist():
-        if not tails or x > tails[-1]:
-            tails.append(x)
-        else:
-            tails[bisect_left(tails, x)] = x
-    return len(tails) / (na + nb - len(tails))
+    band = (off >= need - na) & (off <= nb - need)
+    i, j = i[band], j[band]
+    if not len(i):
+        return 0.0
+    order = np.argsort(i)
+    i, j = i[order], j[order]
+    run = chain(j)
+    return min(WORDS + int(np.minimum(WORDS, np.diff(x[run])).sum()) for x in (i, j)) / max(na, nb)
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+def jaccard(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
+    """Jaccard index of two sorted sets; 0 where their sizes alone keep it under ``least``."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return 0.0
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / max(1, len(a) + len(b) - both)
 
 
-def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
-    """Whether two lists of distinct shingles, in text order, have an index of ``least``."""
-    return bool(len(a) and len(b)) and (aligned(a, b, least) >= least or jaccard(a, b) >= least)
+def listed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A text's labelled shingles in order, and its distinct shingles."""
+    s = shingles(raw)
+    return labelled(s) if len(s) else s, np.unique(s)
+
+
+def similar(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], least: float = SIMILARITY) -> bool:
+    """Whether two ``listed`` texts are linked; the same in both directions."""
+    if not len(x[0]) or not len(y[0]):
+        return False
+    if (len(x[0]), x[0].tobytes()) > (len(y[0]), y[0].tobytes()):
+        x, y = y, x
+    return aligned(x[0], y[0], least) >= least or jaccard(x[1], y[1], least) >= least
 
 
 def _codes(key: str, text: str) -> list[Column]:
@@ -211,13 +237,13 @@ def verified(pairs: DataFrame, texts_: DataFrame) -> DataFrame:
     Texts travel rather than shingle codes, which are longer and do not compress."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, listed = None, None
+        last, kept = None, None
         for b in batches:
             ok = []
             for x, y in zip(blobs(b.column(2)), blobs(b.column(3)), strict=True):
                 if x != last:
-                    last, listed = x, first_places(shingles(x))
-                ok.append(similar(listed, first_places(shingles(y))))
+                    last, kept = x, listed(x)
+                ok.append(similar(kept, listed(y)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
     left = pairs.join(texts_.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
@@ -261,16 +287,17 @@ def linked(base: DataFrame, reps: DataFrame, members: DataFrame, nodes: DataFram
 def by_prefix(nodes: DataFrame, texts_: DataFrame) -> DataFrame:
     """(a, b): all pairs of ``nodes`` (node, comp) of different components that can have the similarity, by the prefix filter.
 
-     Order each text's distinct shingles from the rarest among these nodes; two texts with the similarity t share
-    one of the first n - ceil(t n) + 1, and the places of the first shared one bound what they can share. Passages that many texts hold are common and so stand last."""
+    Order each text's distinct shingles from the rarest among these nodes; two texts with the Jaccard index t share
+    one of the first n - ceil(t n) + 1, and the places of the first shared one bound what they can share. Passages
+    that many texts hold are common and so stand last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [first_places(shingles(raw)).view(np.int64) for raw in blobs(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "codes"])
 
-    listed = arrow_map(texts_.join(nodes.select("node"), "node", "left_semi").select("node", "text"), run, "node bigint, codes array<bigint>")
-    rows = cut(listed.select("node", F.size("codes").alias("n"), F.explode("codes").alias("code")))
+    coded = arrow_map(texts_.join(nodes.select("node"), "node", "left_semi").select("node", "text"), run, "node bigint, codes array<bigint>")
+    rows = cut(coded.select("node", F.size("codes").alias("n"), F.explode("codes").alias("code")))
     held = rows.groupBy("code").agg(F.count("*").alias("held"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("held", "code"))
     first = rows.join(held, "code").withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1).filter("held > 1")
@@ -302,7 +329,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each class: that with the least id."""
     c = cut(classes(docs, key, text))
-    kept = c.filter((F.col("row") == F.col("class_row")) & (F.col("md5") == F.col("class_md5"))).select(F.col("row").alias("__row"), F.col("md5").alias("__md5")).distinct()
+    own, code = fresh(docs, "row", "md5")
+    kept = c.filter((F.col("row") == F.col("class_row")) & (F.col("md5") == F.col("class_md5"))).select(F.col("row").alias(own), F.col("md5").alias(code)).distinct()
     row, md5 = _codes(key, text)
-    out = docs.withColumns({"__row": row, "__md5": md5}).join(kept, ["__row", "__md5"]).dropDuplicates(["__row", "__md5"])
-    return out.select(*docs.columns)
+    out = docs.withColumns({own: row, code: md5}).join(kept, [own, code]).dropDuplicates([own, code])
+    return out.select(*[F.col(f"`{x}`") for x in docs.columns])
