@@ -15,7 +15,8 @@ arithmetic on the two codes, so nothing needs to be made distinct.
 
 Defined results: rows with a null id or null vector are neither indexed nor asked; null, NaN and missing
 elements give bit 0, as do those not above zero; ties in distance go by id; repeated ids are one entry per
-row; a table with fewer than k rows answers with all of them.
+row; a table with fewer than k rows answers with all of them, an empty one with none; columns beside id and code
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from subsieve.runtime import cut
 
 #: Codes with one value of a segment that wait at one join key.
 HOT = 4096
+#: Values of all segments, at most, whose table (16 bytes each) is broadcast: those of segments of 16 bits are.
+BROADCAST_VALUES = 1 << 18
 
 
 def sign_code(vector: str | Column, bits: int = 64) -> Column:
@@ -89,8 +92,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, key
             own = _segment(F.col("q"), shift, width)
             p = active.select("q", own.alias("own"), F.explode(masks(width, s)).alias("mask")).select("q", F.lit(j).alias("j"), F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
             probes = p if probes is None else probes.unionAll(p)
-        met = probes.join(held, ["j", "value"])  # probes of values that no code has end here
-        found = met.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals").join(parts, ["j", "value", "deal"])
+        # probes of values that no code has end here; Catalyst takes the exploded side for small, so joins are named
+        met = probes.join(F.broadcast(held) if m << max(w for _, w in segs) <= BROADCAST_VALUES else held.hint("merge"), ["j", "value"])
+        found = met.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals").hint("merge").join(parts, ["j", "value", "deal"])
         # segment distances decide which probe reports a pair: the first segment at radius s, none being nearer
         first = F.lit(True)
         for j, (shift, width) in enumerate(segs):

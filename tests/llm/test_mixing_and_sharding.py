@@ -98,15 +98,18 @@ def brute(rows, asked, k):
     return sorted((q, i, d, r + 1) for q, x in asked for r, (d, i) in enumerate(sorted((bin((x ^ y) & (2**64 - 1)).count("1"), i) for i, y in rows)[:k]))
 
 
-@pytest.mark.parametrize("n,spread", [(0, 1), (3, 1), (400, 64), (300, 6)])
-def test_topk_is_exact(spark, n, spread):
+@pytest.mark.parametrize("n,spread,hot", [(0, 1, 4096), (3, 1, 4096), (400, 64, 4096), (300, 6, 7)])
+def test_topk_is_exact(spark, n, spread, hot, monkeypatch):
+    monkeypatch.setattr(topk, "HOT", hot)
+    monkeypatch.setattr(topk, "BROADCAST_VALUES", 1 << 18 if hot > 7 else 0)
     rng = np.random.default_rng(n)
     base = rng.integers(-(2**63), 2**63 - 1, size=5)
     rows = [(i, int(base[i % 5]) ^ int(sum(1 << int(b) for b in rng.choice(63, rng.integers(0, spread), replace=False)))) for i in range(n)]
     rows += [(1000 + i, int(base[0])) for i in range(40 if n > 3 else 0)]
-    df = spark.createDataFrame(rows, "vec_id bigint, code bigint")
+    odd = [(None, 5, 1, 1), (77_777, None, 1, 1)]
+    df = spark.createDataFrame([*((*r, 0, 0) for r in rows), *odd], "vec_id bigint, code bigint, q int, value int")
     asked = rows[:: max(1, n // 6)]
-    got = topk.search(df, spark.createDataFrame(asked, df.schema), 5)
+    got = topk.search(df, spark.createDataFrame([*((*r, 0, 0) for r in asked), *odd], df.schema), 5)
     assert sorted((r.qid, r.id, r.distance, r.rank) for r in got.collect()) == brute(rows, asked, 5)
 
 
