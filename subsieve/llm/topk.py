@@ -6,8 +6,9 @@ m * (s + 1) - 1. The radius grows by one per round: queries probe the segment va
 (an equi-join of probes with the index, no scan), candidates are verified on whole codes, and a query ends as
 soon as its kth verified distance is covered. m follows the number of distinct codes in two steps (segments of
 16 or about 22 bits; the method's authors advise about the logarithm of the number), so that the probes of a
-radius grow with the queries alone. Probes first meet the values that some code has; a value that very many
-codes have is dealt over several join keys.
+radius grow with the queries alone. A value that very many codes have is dealt over several join keys. Once k codes
+are verified, their kth distance bounds the rest of a query's search: candidates beyond it are not emitted, and the
+last radius is used in only so many segments as that distance asks for.
 
 Equal codes are one index entry that keeps its k least ids: more can be in no answer. Equal query codes are
 searched once. A pair that several segments or radii would find is emitted only by the first one, decided by
@@ -31,8 +32,8 @@ from subsieve.runtime import cut
 
 #: Codes with one value of a segment that wait at one join key.
 HOT = 4096
-#: Values of all segments, at most, whose table (16 bytes each) is broadcast: those of segments of 16 bits are.
-BROADCAST_VALUES = 1 << 18
+#: Hot values, at most, whose table (16 bytes each) is broadcast; beyond it they are joined by a shuffle.
+BROADCAST_HOT = 1 << 18
 
 
 def sign_code(vector: str | Column, bits: int = 64) -> Column:
@@ -79,24 +80,26 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, key
     segs = segments(bits, n)
     m = len(segs)
     parts = index.select("c", F.size("ids").alias("n"), F.posexplode(F.array(*(_segment(F.col("c"), *s) for s in segs))).alias("j", "value"))
-    # a value that very many codes have is dealt over several keys, on which the probes that meet it are repeated
-    held = cut(parts.groupBy("j", "value").agg(F.ceil(F.count("*") / HOT).cast("int").alias("deals")))
-    parts = cut(parts.join(held, ["j", "value"]).select("c", "n", "j", "value", F.pmod(F.xxhash64("c"), F.col("deals")).cast("int").alias("deal")))
-    active = asked.select("q").distinct()
+    # a value that very many codes have is dealt over several keys, on which the probes of that value are repeated
+    hot = cut(parts.groupBy("j", "value").agg(F.ceil(F.count("*") / HOT).cast("int").alias("deals")).filter("deals > 1"))
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_HOT else hot.hint("merge")
+    parts = cut(parts.join(hot, ["j", "value"], "left").select("c", "n", "j", "value", F.pmod(F.xxhash64("c"), F.coalesce("deals", F.lit(1))).cast("int").alias("deal")))
+    active = asked.select("q", F.lit(bits).alias("far")).distinct()
     best = answers = None
     for s in range(max(w for _, w in segs) + 1):
         probes = None
         for j, (shift, width) in enumerate(segs):
             if s > width:
                 continue
+            # with radius s in segments 0..j and s - 1 in the others, all codes up to distance m * s + j are met
             own = _segment(F.col("q"), shift, width)
-            p = active.select("q", own.alias("own"), F.explode(masks(width, s)).alias("mask")).select("q", F.lit(j).alias("j"), F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+            p = active.filter(F.col("far") >= m * s + j).select("q", "far", own.alias("own"), F.explode(masks(width, s)).alias("mask"))
+            p = p.select("q", "far", F.lit(j).alias("j"), F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
             probes = p if probes is None else probes.unionAll(p)
-        # probes of values that no code has end here; Catalyst takes the exploded side for small, so joins are named
-        met = probes.join(F.broadcast(held) if m << max(w for _, w in segs) <= BROADCAST_VALUES else held.hint("merge"), ["j", "value"])
-        found = met.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals").hint("merge").join(parts, ["j", "value", "deal"])
+        dealt = probes.join(hot, ["j", "value"], "left").withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1))).drop("deals")
+        found = dealt.hint("merge").join(parts, ["j", "value", "deal"])  # Catalyst takes the exploded side for small
         # segment distances decide which probe reports a pair: the first segment at radius s, none being nearer
-        first = F.lit(True)
+        first = _distance(F.col("q"), F.col("c")) <= F.col("far")
         for j, (shift, width) in enumerate(segs):
             d = F.bit_count(_segment(F.col("q").bitwiseXOR(F.col("c")), shift, width))
             first = first & F.when(F.lit(j) < F.col("j"), d > s).otherwise(d >= s)
@@ -107,16 +110,14 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, key
         upto = F.sum("n").over(Window.partitionBy("q").orderBy("d"))  # of equal distances all count
         near = near.withColumns({"upto": upto, "same": F.sum("n").over(Window.partitionBy("q", "d"))}).filter(F.col("upto") - F.col("same") < k)
         best = cut(near.select("q", "c", "n", "d", "upto"))
-        covered = m * (s + 1) - 1
-        state = best.groupBy("q").agg(F.max("upto").alias("held"), F.max("d").alias("far"))
-        over = state.filter((F.col("held") >= k) & (F.col("far") <= covered)).select("q")
-        if s == max(w for _, w in segs):
-            over = active.select("q")
-        over = cut(over)
-        part = best.join(over, "q", "left_semi").select("q", "c", "d")
+        state = best.groupBy("q").agg(F.max("upto").alias("held"), F.max("d").alias("last"))
+        done = (F.coalesce("held", F.lit(0)) >= k) & (F.col("last") < m * (s + 1)) if s < max(w for _, w in segs) else F.lit(True)
+        # the kth distance so far bounds what is still looked for
+        after = cut(active.join(state, "q", "left").select("q", F.when(F.coalesce("held", F.lit(0)) >= k, F.col("last")).otherwise(F.col("far")).cast("int").alias("far"), F.coalesce(done, F.lit(False)).alias("done")))
+        part = best.join(after.filter("done"), "q", "left_semi").select("q", "c", "d")
         answers = part if answers is None else answers.unionByName(part)
         best = best.drop("upto")
-        active = cut(active.join(over, "q", "left_anti"))
+        active = after.filter("not done").select("q", "far")
         if not active.limit(1).count():
             break
     hits = answers.join(index, "c").select("q", "d", F.explode("ids").alias("id"))

@@ -101,7 +101,7 @@ def brute(rows, asked, k):
 @pytest.mark.parametrize("n,spread,hot", [(0, 1, 4096), (3, 1, 4096), (400, 64, 4096), (300, 6, 7)])
 def test_topk_is_exact(spark, n, spread, hot, monkeypatch):
     monkeypatch.setattr(topk, "HOT", hot)
-    monkeypatch.setattr(topk, "BROADCAST_VALUES", 1 << 18 if hot > 7 else 0)
+    monkeypatch.setattr(topk, "BROADCAST_HOT", 1 << 18 if hot > 7 else 0)
     rng = np.random.default_rng(n)
     base = rng.integers(-(2**63), 2**63 - 1, size=5)
     rows = [(i, int(base[i % 5]) ^ int(sum(1 << int(b) for b in rng.choice(63, rng.integers(0, spread), replace=False)))) for i in range(n)]
