@@ -1,8 +1,12 @@
 """A versioned database of sets and keys: staged changes, consolidation into snapshots, matching on the last one.
 
-A database is a folder: ``changes/`` has staged changes, ``v=<n>/`` the snapshots (sets with sorted keys) and
-``CURRENT`` tables name the published version. A snapshot is never altered, so readers of an older one are not
-disturbed, and matching before anything was published answers with no keys.
+A database is a folder: ``changes/seq=<n>/`` has the n-th staged change, ``v=<n>/`` the snapshots (sets with sorted
+keys), and each row of the ``CURRENT`` table publishes a version and says up to which change it goes. A snapshot is
+never altered, so readers of an older one are not disturbed, and matching before anything was published answers
+with no keys. Changes are numbered by the folder, so the last operation on a key wins whichever object or session
+staged it; one that was not written to its end does not count. A consolidation takes the changes that were staged
+when it began: what is staged meanwhile waits for the next one, and if it ends before it has cleared them away, they
+are passed over as published already.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ class TagDatabase:
 
     def __init__(self, spark: SparkSession, path: str, latency_ms: int = 0, allow_empty: bool = False):
         self.spark, self.path, self.latency_ms, self.allow_empty = spark, path.rstrip("/"), latency_ms, allow_empty
-        self.seq, self.started = 0, False
+        self.started, self.max_partition_size = False, 1000
         self._rows: DataFrame | None = None
         self._parts: tuple[DataFrame, DataFrame] | None = None
 
@@ -50,11 +54,15 @@ class TagDatabase:
         fs, p = self._fs(path)
         fs.delete(p, True)
 
+    def _published(self) -> list[tuple[int, int]]:
+        """(version, last change in it), oldest first."""
+        path = f"{self.path}/CURRENT"
+        return sorted(map(tuple, self.spark.read.schema("version bigint, upto bigint").parquet(path).collect())) if self._exists(path) else []
+
     @property
     def versions(self) -> list[int]:
         """Published versions, oldest first."""
-        path = f"{self.path}/CURRENT"
-        return sorted(r[0] for r in self.spark.read.parquet(path).collect()) if self._exists(path) else []
+        return [v for v, _ in self._published()]
 
     @property
     def version(self) -> int | None:
@@ -62,12 +70,21 @@ class TagDatabase:
 
     # changes
 
+    def _staged(self, whole: bool = True) -> list[int]:
+        """Numbers of the staged changes; only of those written to their end, or of all."""
+        path = f"{self.path}/changes"
+        if not self._exists(path):
+            return []
+        fs, p = self._fs(path)
+        found = [int(f.getPath().getName().removeprefix("seq=")) for f in fs.listStatus(p) if f.getPath().getName().startswith("seq=")]
+        return sorted(n for n in found if not whole or self._exists(f"{path}/seq={n}/_SUCCESS"))
+
     def _stage(self, sets: DataFrame, op: str) -> None:
         if not self.allow_empty and sets.filter(Bits.of().is_empty()).limit(1).count():
             raise ValueError("an empty set is in every query; set allow_empty to store it")
-        self.seq += 1
-        staged = sets.select(F.lit(self.seq).cast("bigint").alias("seq"), F.lit(op).alias("op"), *WORDS, F.col("key").cast("bigint").alias("key"))
-        staged.write.mode("append").parquet(f"{self.path}/changes")
+        seq = max([0, *self._staged(whole=False), *(upto for _, upto in self._published())]) + 1
+        staged = sets.select(F.lit(op).alias("op"), *WORDS, F.col("key").cast("bigint").alias("key"))
+        staged.write.mode("error").parquet(f"{self.path}/changes/seq={seq}")
 
     def add(self, sets: DataFrame) -> None:
         """Stage keys of sets: columns b0..b2 and ``key``, or ``keys`` (an array)."""
@@ -78,8 +95,12 @@ class TagDatabase:
         self._stage(sets.select(*WORDS, F.explode("keys").alias("key")) if "keys" in sets.columns else sets, "remove")
 
     def changes(self) -> DataFrame:
-        path = f"{self.path}/changes"
-        return self.spark.read.schema(CHANGES).parquet(path) if self._exists(path) else self.spark.createDataFrame([], CHANGES)
+        """(seq, op, b0..b2, key) of all staged changes that no version holds."""
+        done = max((upto for _, upto in self._published()), default=0)
+        paths = [f"{self.path}/changes/seq={n}" for n in self._staged() if n > done]
+        if not paths:
+            return self.spark.createDataFrame([], CHANGES)
+        return self.spark.read.schema(CHANGES).option("basePath", f"{self.path}/changes").parquet(*paths).select(*CHANGES.names)
 
     def snapshot(self, version: int | None = None) -> DataFrame:
         """(b0..b2, keys) of a published version, the last by default; empty if there is none."""
@@ -88,23 +109,26 @@ class TagDatabase:
 
     def consolidate(self, max_partition_size: int = 1000) -> int:
         """Merge the staged changes into a new version, publish it, and partition it when it is first matched by
-        routing. Sets without keys are gone."""
+        routing. Sets without keys are gone. What ``start`` held of the former version is let go."""
+        staged, published = self._staged(), self._published()
         old = self.snapshot().select(*WORDS, F.explode("keys").alias("key"))
-        merged = match.merged_keys(net(old, self.changes()))
-        version = (self.version or 0) + 1
+        merged = match.merged_keys(net(old, self.changes().filter(F.col("seq") <= max(staged, default=0))))
+        version = max((v for v, _ in published), default=0) + 1
         merged.select(*WORDS, "keys").write.mode("overwrite").parquet(f"{self.path}/v={version}")
-        self.spark.createDataFrame([(version,)], "version bigint").write.mode("append").parquet(f"{self.path}/CURRENT")
-        self._delete(f"{self.path}/changes")
-        self.max_partition_size, self._rows, self._parts = max_partition_size, None, None
+        upto = max([0, *staged, *(x for _, x in published)])
+        self.spark.createDataFrame([(version, upto)], "version bigint, upto bigint").coalesce(1).write.mode("append").parquet(f"{self.path}/CURRENT")
+        for n in staged:
+            self._delete(f"{self.path}/changes/seq={n}")
+        self.stop()
+        self.max_partition_size = max_partition_size
         return version
 
     def clear(self) -> None:
         """Forget versions, staged changes and what is held in memory."""
         self.stop()
-        for name in ("changes", "CURRENT"):
+        versions = self.versions
+        for name in ("changes", "CURRENT", *(f"v={v}" for v in versions)):
             self._delete(f"{self.path}/{name}")
-        for v in self.versions:
-            self._delete(f"{self.path}/v={v}")
 
     # matching
 
@@ -124,7 +148,7 @@ class TagDatabase:
 
     def partitions(self) -> tuple[DataFrame, DataFrame]:
         if self._parts is None:
-            rows, masks = balanced_partitions(self.rows(), getattr(self, "max_partition_size", 1000))
+            rows, masks = balanced_partitions(self.rows(), self.max_partition_size)
             self._parts = cut(rows), cut(masks)
         return self._parts
 
@@ -147,6 +171,10 @@ class TagDatabase:
         """Estimate of the bytes of the rows matched against."""
         return match.size_bound(self.rows())
 
+    def partition_sizes(self) -> DataFrame:
+        """(pid, size, popcount): sets of each partition, and bits of its common mask."""
+        return self.partitions()[1].select("pid", "size", Bits.of("m").popcount().alias("popcount"))
+
     def routing(self, queries: DataFrame) -> DataFrame:
         """(pid, queries): how many queries each partition would be asked."""
         return match.route(self.partitions()[1], queries).groupBy("pid").agg(F.count("*").alias("queries"))

@@ -3,13 +3,17 @@
 ``filters`` and ``queries`` have the words b0..b2; filters carry any payload (keys, ids, tags), queries ``qid``
 and any payload. Every strategy gives the same pairs:
 
-nested_loop   broadcast nested loop over the smaller side; only if that side's size is known to be bounded.
-mask_routed   queries meet the few common masks of balanced partitions, then join their partitions by id.
-anchor        each set waits at its rarest pair of bits; queries go to the pairs they hold. An equi-join.
+nested_loop   broadcast nested loop over the smaller side while that side's size is known to be bounded, optionally
+              behind a test of the two popcounts; beyond the bound it is the anchor join.
+mask_routed   queries meet the common masks of balanced partitions (few: broadcast; many: by anchors), then join
+              their partitions by id.
+anchor        each set waits at its two rarest bits; queries go to those pairs of their bits that some set waits at.
+              An equi-join; pairs with very many sets are dealt over several keys.
 tag_anchor    each set waits at the exact tag that fewest queries hold; queries go to their tags. An equi-join
               with as many keys as there are tags, for large sides; needs ``tags`` on both and re-checks them.
 
-``auto`` takes tag_anchor where both sides have exact tags, else nested_loop under the bound, else mask_routed.
+``auto`` takes tag_anchor where both sides have exact tags, else nested_loop under the bound, else anchor. A
+superset search is the subset join with the sides exchanged, so it has the same strategies.
 """
 
 from __future__ import annotations
@@ -21,26 +25,25 @@ from pyspark.sql import functions as F
 
 from subsieve.functions.bits import Bits
 from subsieve.plans.partition import balanced_partitions
+from subsieve.runtime import cut
 from subsieve.schema import words
 
 #: A side of a nested loop is broadcast only if Catalyst's size estimate, an upper bound here, is under this.
 BROADCAST_BYTES = 64 << 20
-#: A set's anchor tag with more sets than this is dealt over several join keys.
+#: An anchor with more sets than this is dealt over several join keys.
 SALT_ROWS = 100_000
 STRATEGIES = ("auto", "nested_loop", "mask_routed", "anchor", "tag_anchor")
 WORDS = words()
 
 
 def size_bound(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes of a table; where that is unknown or large, rows are counted up to the
-    number that a broadcast may have, and the estimate is kept only if there are more."""
+    """Catalyst's estimate of the bytes of a table; where that is unknown or above the bound, rows are counted (a
+    distributed count) and taken at a width by their columns, lists and texts at 1,024 bytes."""
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if estimate > BROADCAST_BYTES:
-        row = max(64, sum(_width(f.dataType.simpleString()) for f in df.schema.fields))
-        most = max(0, BROADCAST_BYTES) // row
-        n = df.limit(most + 1).count()
-        return n * row if n <= most else estimate
-    return estimate
+    if estimate <= BROADCAST_BYTES:
+        return estimate
+    row = max(64, sum(_width(f.dataType.simpleString()) for f in df.schema.fields))
+    return min(estimate, df.count() * row)
 
 
 def _width(kind: str) -> int:
@@ -61,13 +64,20 @@ def _condition(relation: str) -> Column:
     return {"subset": s.subset_of(q), "superset": q.subset_of(s), "equal": s.equals(q)}[relation]
 
 
-def nested_loop(filters: DataFrame, queries: DataFrame, relation: str = "subset") -> DataFrame:
-    """All pairs tested, the smaller side broadcast behind a check of its size."""
+def nested_loop(filters: DataFrame, queries: DataFrame, relation: str = "subset", popcounts: bool = False) -> DataFrame:
+    """All pairs tested, the smaller side broadcast behind a check of its size; beyond it, the anchor join.
+
+    With ``popcounts`` both sides' numbers of bits are computed once a row, and only pairs that these allow are tested."""
     f, q = _sides(filters, queries)
     a, b = size_bound(f), size_bound(q)
     if min(a, b) > BROADCAST_BYTES:
-        raise ValueError(f"neither side is under {BROADCAST_BYTES} bytes; use mask_routed, anchor or tag_anchor")
-    return (F.broadcast(f).join(q, _condition(relation)) if a < b else f.join(F.broadcast(q), _condition(relation))).select(*f.columns, *q.columns)
+        return anchor(filters, queries) if relation == "subset" else around(filters, queries)
+    condition = _condition(relation)
+    kept, asked = f, q
+    if popcounts:
+        kept, asked = f.withColumn("_pf", Bits.of("b").popcount()), q.withColumn("_pq", Bits.of("q").popcount())
+        condition = ((F.col("_pf") <= F.col("_pq")) if relation == "subset" else (F.col("_pq") <= F.col("_pf"))) & condition
+    return (F.broadcast(kept).join(asked, condition) if a < b else kept.join(F.broadcast(asked), condition)).select(*f.columns, *q.columns)
 
 
 def equal(filters: DataFrame, queries: DataFrame) -> DataFrame:
@@ -80,8 +90,10 @@ def route(masks: DataFrame, queries: DataFrame) -> DataFrame:
     """(pid, queries' columns): the partitions whose common mask a query holds. Masks are one row per partition."""
     m, q = Bits.of("m"), Bits.of("b")
     side = masks.select("pid", *words("m"))
-    bounded = F.broadcast(side) if size_bound(side) <= BROADCAST_BYTES else side
-    return queries.join(bounded, m.subset_of(q)).drop(*words("m"))
+    if size_bound(side) <= BROADCAST_BYTES:
+        return queries.join(F.broadcast(side), m.subset_of(q)).drop(*words("m"))
+    met = anchor(side.withColumnsRenamed({f"m{k}": f"b{k}" for k in range(len(WORDS))}), queries)
+    return met.drop(*WORDS).withColumnsRenamed({f"q{k}": f"b{k}" for k in range(len(WORDS))}).select(*queries.columns, "pid")
 
 
 def mask_routed(filters: DataFrame, queries: DataFrame, max_partition: int = 1000, partitioned: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -99,17 +111,28 @@ def _rarest(filters: DataFrame) -> list[int]:
 
 
 def anchor(filters: DataFrame, queries: DataFrame) -> DataFrame:
-    """An equi-join on each set's two rarest bits (one bit for sets of one; empty sets are in every query)."""
+    """An equi-join on each set's two rarest bits (one bit for sets of one; empty sets are in every query).
+
+    A query's bits first meet the pairs that sets wait at, at most 18,529 and so broadcast, and go on only to those
+    whose second bit it has too."""
     f, q = _sides(filters, queries)
     order = _rarest(filters)
     place = F.array(*map(F.lit, [order.index(p) for p in range(len(order))]))
-    ranks = lambda b: F.array_sort(F.transform(b.positions(), lambda p: F.get(place, p)))
-    kept = f.withColumn("_r", ranks(Bits.of("b")))
-    kept = kept.withColumn("_a", F.when(F.size("_r") == 0, F.lit(-1)).otherwise(F.get("_r", F.lit(0)) * 256 + F.coalesce(F.get("_r", F.lit(1)), F.lit(255)))).drop("_r")
-    asked = q.withColumn("_r", ranks(Bits.of("q")))
-    pairs = F.flatten(F.transform("_r", lambda x, i: F.concat(F.array(x * 256 + 255), F.transform(F.slice("_r", i + 2, F.greatest(F.size("_r") - i - 1, F.lit(0))), lambda y: x * 256 + y))))
-    asked = asked.withColumn("_a", F.explode(F.concat(F.array(F.lit(-1)), pairs))).drop("_r")
-    return kept.join(asked, "_a").filter(_condition("subset")).select(*f.columns, *q.columns)
+    bit = F.array(*map(F.lit, order))
+    ranks = F.slice(F.array_sort(F.transform(Bits.of("b").positions(), lambda p: F.get(place, p))), 1, 2)
+    kept = f.withColumn("_r", ranks).withColumns({"_x": F.coalesce(F.get(bit, F.get("_r", F.lit(0))), F.lit(-1)), "_y": F.coalesce(F.get(bit, F.get("_r", F.lit(1))), F.lit(-1))}).drop("_r")
+    held = cut(kept.groupBy("_x", "_y").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("_parts")))
+    waiting = kept.join(F.broadcast(held), ["_x", "_y"]).withColumn("_s", F.pmod(F.xxhash64(*f.columns), F.col("_parts")).cast("int")).drop("_parts")
+    moving = q.withColumn("_x", F.explode(F.concat(F.array(F.lit(-1)), Bits.of("q").positions()))).join(F.broadcast(held), "_x")
+    moving = moving.filter((F.col("_y") < 0) | Bits.of("q").test(F.col("_y"))).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return waiting.join(moving, ["_x", "_y", "_s"]).filter(_condition("subset")).select(*f.columns, *q.columns)
+
+
+def around(filters: DataFrame, queries: DataFrame) -> DataFrame:
+    """Superset pairs by anchors: the queries wait and the stored sets ask."""
+    f, q = _sides(filters, queries)
+    other = {c: c.replace("b", "q", 1) if c in WORDS else c.replace("q", "b", 1) for c in (*WORDS, *words("q"))}
+    return anchor(queries, filters).select(*(F.col(other.get(c, c)).alias(c) for c in (*f.columns, *q.columns)))
 
 
 def tag_anchor(filters: DataFrame, queries: DataFrame, key: list[str], tags: str = "tags", query_tags: str = "query_tags", words_too: bool = False) -> DataFrame:
@@ -127,11 +150,11 @@ def tag_anchor(filters: DataFrame, queries: DataFrame, key: list[str], tags: str
     bare = filters.filter((F.size(tags) == 0) | F.col(tags).isNull())
     if not bare.limit(1).count():
         return found
-    # one row holds all bare sets' rows together, so that queries are repeated by a generator and not by a cross join
-    packed = bare.agg(F.collect_list(F.struct(*bare.columns)).alias("_bare"))
-    if size_bound(bare) > BROADCAST_BYTES:
-        raise ValueError("too many sets without tags: every query would hold all of them")
-    return found.unionByName(queries.join(F.broadcast(packed)).select("*", F.inline("_bare")).select(*found.columns))
+    # sets without tags meet every query: they are dealt over as many keys as they are many, each of which all queries visit
+    deals = max(1, -(-bare.count() // SALT_ROWS))
+    dealt = bare.withColumn("_s", F.pmod(F.xxhash64(*key), F.lit(deals)).cast("int"))
+    visiting = queries.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    return found.unionByName(dealt.join(visiting, "_s").select(*found.columns))
 
 
 def pairs(filters: DataFrame, queries: DataFrame, relation: str = "subset", strategy: str = "auto", **options) -> DataFrame:
@@ -141,10 +164,9 @@ def pairs(filters: DataFrame, queries: DataFrame, relation: str = "subset", stra
     if relation == "equal":
         return equal(filters, queries)
     if relation == "superset":
-        return nested_loop(filters, queries, relation)
+        return around(filters, queries) if strategy == "anchor" else nested_loop(filters, queries, relation, **options)
     if strategy == "auto":
-        small = min(size_bound(filters), size_bound(queries)) <= BROADCAST_BYTES
-        strategy = "tag_anchor" if "key" in options and "tags" in filters.columns else "nested_loop" if small else "mask_routed"
+        strategy = "tag_anchor" if "key" in options and "tags" in filters.columns else "nested_loop"
     return {"nested_loop": nested_loop, "mask_routed": mask_routed, "anchor": anchor, "tag_anchor": tag_anchor}[strategy](filters, queries, **options)
 
 
@@ -154,7 +176,7 @@ def matching(filters: DataFrame, queries: DataFrame, found: bool = True, other:
     f, q = _sides(filters.select(*WORDS, *([other] if other else [])), queries)
     counts = F.col(other) != F.col("qid") if other else F.lit(True)
     if size_bound(f) > BROADCAST_BYTES:
-        hit = mask_routed(f, queries).filter(counts).select("qid").distinct()
+        hit = anchor(f, queries).filter(counts).select("qid").distinct()
         return queries.join(hit, "qid", "left_semi" if found else "left_anti")
     out = q.join(F.broadcast(f), _condition("subset") & counts, "left_semi" if found else "left_anti")
     return out.withColumnsRenamed({f"q{k}": f"b{k}" for k in range(len(WORDS))})

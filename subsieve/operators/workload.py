@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from subsieve.functions import bloom
 from subsieve.functions.bits import Bits
 from subsieve.plans.partition import bit_counts
+from subsieve.runtime import cut, ship
 from subsieve.schema import WIDTH
 
 
@@ -25,10 +28,53 @@ def zipf_weights(n: int, s: float) -> list[float]:
     return out
 
 
+def _mixed(*parts) -> np.ndarray:
+    """Numbers in [0, 1) that depend only on the parts, which are broadcast against each other."""
+    x = np.uint64(0)
+    with np.errstate(over="ignore"):
+        for p in parts:
+            x = (x ^ np.asarray(p).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = x ^ (x >> np.uint64(32))
+    return (x >> np.uint64(11)) / float(1 << 53)
+
+
+#: Rounds of drawing again before the rest of a set is drawn from the tags that are left.
+ROUNDS = 24
+
+
+def draw_sets(ids: np.ndarray, counts: np.ndarray, seed: int, space: int, weights: np.ndarray | None) -> list[list[int]]:
+    """For each id ``count`` distinct tags under ``space``, drawn one after the other, uniformly or by cumulative weights.
+
+    Tags are drawn until enough are distinct. Sets that are still short after some rounds, where a few heavy tags
+    come again and again, get the rest by exponential keys over the tags that are left: the same distribution."""
+    sets: list[dict[int, None]] = [{} for _ in ids]
+    open_ = np.arange(len(ids))
+    for turn in range(ROUNDS):
+        if not len(open_):
+            break
+        u = _mixed(seed, ids[open_, None], turn, np.arange(int(counts[open_].max()))[None, :])
+        drawn = (u * space).astype(np.int64) if weights is None else np.minimum(np.searchsorted(weights, u * weights[-1], "right"), space - 1)
+        for i, row in zip(open_.tolist(), drawn.tolist(), strict=True):
+            have = sets[i]
+            for tag in row:
+                if len(have) == counts[i]:
+                    break
+                have[tag] = None
+        open_ = open_[[len(sets[i]) < counts[i] for i in open_.tolist()]]
+    for i in open_.tolist():
+        weight = np.ones(space) if weights is None else np.diff(weights, prepend=0.0)
+        late = -np.log1p(-_mixed(seed, ids[i], ROUNDS, np.arange(space))) / weight
+        late[list(sets[i])] = np.inf
+        for tag in np.argsort(late, kind="stable")[: int(counts[i]) - len(sets[i])].tolist():
+            sets[i][tag] = None
+    return [list(s) for s in sets]
+
+
 def generate(spark: SparkSession, n: int, least: int = 1, most: int = 10, tags: str = "uniform", space: int = 100_000, zipf_s: float = 1.0, k: int = bloom.K, ifaces: tuple[int, int] = (0, 0), trees: tuple[int, int] | None = None, dictionary: list[list[int]] | None = None, dictionary_count: int = 0, seed: int = 1) -> DataFrame:
     """n rows (id, tags, b0..b2, iface, tree): a set of ``least``..``most`` distinct random tags, uniform or Zipf over
     ``space`` (``tags="bits"``: as many times k random positions instead), united with sets of a dictionary."""
-    if tags == "zipf" and most > space:
+    if tags != "bits" and most > space:
         raise ValueError("a set can't have more distinct tags than there are")
     rows = spark.range(n)
     count = (F.lit(least) + F.floor(_uniform(seed, F.col("id"), F.lit("n")) * (most - least + 1))).cast("int")
@@ -37,15 +83,16 @@ def generate(spark: SparkSession, n: int, least: int = 1, most: int = 10, tags:
         positions = F.transform(F.sequence(F.lit(1), count * k), lambda i: F.floor(draw(i, "bit") * WIDTH).cast("int"))
         out, bits = rows.withColumn("tags", F.array().cast("array<bigint>")), Bits.from_positions(positions)
     else:
-        if tags == "zipf":
-            weights = zipf_weights(space, zipf_s)
-            steps = F.array(*(F.lit(w) for w in weights)) if space <= 2000 else F.from_json(F.lit(str(weights)), "array<double>")
-            value = lambda i: F.size(F.filter(steps, lambda w: w <= draw(i, "tag") * weights[-1])).cast("bigint")
-        else:
-            value = lambda i: F.floor(draw(i, "tag") * space).cast("bigint")
-        many = F.lit(64) if tags == "zipf" else F.lit(4)
-        drawn = F.array_distinct(F.transform(F.sequence(F.lit(1), count * many), value))
-        out = rows.withColumn("tags", F.slice(drawn, F.lit(1), count))
+        ship(spark)
+        weights = np.array(zipf_weights(space, zipf_s)) if tags == "zipf" else None
+        shared = spark.sparkContext.broadcast((seed, space, weights))
+
+        def drawn(batches):
+            for b in batches:
+                made = draw_sets(b.column(0).to_numpy(), b.column(1).to_numpy(), *shared.value)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.int64()))], names=["id", "tags"])
+
+        out = rows.select("id", count.alias("count")).mapInArrow(drawn, "id bigint, tags array<bigint>")
         bits = bloom.encode(F.col("tags"), k)
     if dictionary and dictionary_count:
         listed = F.array(*(F.array(*map(F.lit, d)) for d in dictionary))
@@ -85,11 +132,37 @@ def permute(rows: DataFrame, new_of: list[int]) -> DataFrame:
     return rows.select(*(moved.get(c, F.col(f"`{c}`")) for c in rows.columns))  # all words from the old ones at once
 
 
-def sort_descending(rows: DataFrame) -> DataFrame:
-    """From the greatest set to the least in the order of the 0/1 texts."""
-    return rows.orderBy(Bits.of().to_ascii().desc())
+def sort_descending(rows: DataFrame, first: int | None = None) -> DataFrame:
+    """From the greatest set to the least in the order of the 0/1 texts; only the ``first`` so many if that is given."""
+    out = rows.orderBy(Bits.of().to_ascii().desc())
+    return out if first is None else out.limit(first)
+
+
+def sorted_in_partitions(rows: DataFrame, pid: str = "pid") -> DataFrame:
+    """``rows`` with each partition's sets together, from the greatest to the least, to be written or cached so."""
+    return rows.repartition(pid).sortWithinPartitions(pid, Bits.of().to_ascii().desc())
+
+
+def out_of_order(rows: DataFrame, place: str) -> DataFrame:
+    """The rows, by their order in the column ``place`` (0, 1, ...), whose set is greater than the one before it: none
+    if the rows are sorted from the greatest."""
+    after = rows.select((F.col(place) + 1).alias(place), *(F.col(c).alias(f"p{c[1:]}") for c in ("b0", "b1", "b2")))
+    return rows.join(after, place).filter(Bits.of("p").less(Bits.of())).drop("p0", "p1", "p2")
+
+
+def popcount_range(rows: DataFrame) -> DataFrame:
+    """(sets, least, most, mean) of the numbers of bits."""
+    n = Bits.of().popcount()
+    return rows.agg(F.count("*").alias("sets"), F.min(n).alias("least"), F.max(n).alias("most"), F.avg(n).alias("mean"))
+
 
+def numbered(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """``rows`` with ``place``: 0, 1, ... by ``order``.
 
-def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """``rows`` with ``place``: 0, 1, ... by ``order``; for short lists such as permutation files."""
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(order)) - 1)
+    A sort by ranges is written down; the ranges' counts, one row each, give where every range begins, and places within
+    a range are numbered in a window of its own."""
+    ranged = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    begins = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_begin"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.withColumn("_place", place).join(F.broadcast(begins), "_range").select(*rows.columns, (F.col("_begin") + F.col("_place")).alias("place"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subsieve.functions.bits import Bits, common_all
@@ -28,6 +28,11 @@ def bit_counts(b: Bits) -> Column:
     return F.array(*(F.sum(F.when(b.test(p), 1).otherwise(0)) for p in range(b.width)))
 
 
+def less_counts(counts: Column, part: Column) -> Column:
+    """The frequencies of a group without one of its parts, both arrays by position."""
+    return F.zip_with(counts, part, lambda a, b: a - b)
+
+
 def pivots(groups: DataFrame) -> DataFrame:
     """(group, pivot, order) of groups (group, n, counts) to be split: the bit to split on, or, where no bit parts off
     an eighth, all bits from the commonest. Groups of equal sets have no row."""
@@ -76,41 +81,60 @@ def balanced_partitions(filters: DataFrame, max_size: int = 1000, max_levels: in
     ship(filters.sparkSession)
     covered = apart.groupBy("group").applyInPandas(cover, "group string, b0 bigint, b1 bigint, b2 bigint")
     closed = cut(closed.unionByName(covered))
-    names = closed.select("group").distinct().withColumn("pid", F.row_number().over(Window.orderBy("group")).cast("bigint") - 1)
+    names = cut(closed.select("group").distinct().withColumn("pid", F.monotonically_increasing_id()))  # once written, ids stay
     placed = cut(closed.join(names, "group").drop("group"))
     return filters.join(placed, WORDS), common_all(placed, ["pid"])
 
 
+#: Sets with one head that a task of the prefix split takes, at most, where longer heads can tell them apart.
+HEAD_SETS = 200_000
+
+
+def cut_runs(texts: np.ndarray, max_size: int) -> np.ndarray:
+    """Number of the run of each text, of 0/1 texts from the greatest to the least.
+
+    A run is cut where neighbours share least within what it may hold, the first such place, so that the runs' prefixes
+    are long; a rest that one run may hold is one run."""
+    width = max(map(len, texts), default=1)
+    chars = np.array(texts, f"S{width}").view(np.uint8).reshape(len(texts), -1)
+    differ = chars[1:] != chars[:-1]
+    shared = np.where(differ.any(1), differ.argmax(1), width)  # of each text and the next
+    out, start, run = np.empty(len(texts), np.int64), 0, 0
+    while start < len(texts):
+        end = len(texts)
+        if end - start > max_size:
+            near = shared[start : start + max_size - 1]
+            # texts that are all alike go on to the end of the window
+            end = start + 1 + (int(near.argmin()) if len(near) and near.min() < width else len(near))
+        out[start:end] = run
+        start, run = end, run + 1
+    return out
+
+
 def leading_runs(filters: DataFrame, max_size: int = 100, min_ones: int = 2) -> DataFrame:
     """``filters`` with ``pid``: runs, in descending order of the sets, that share a prefix holding more than
     ``min_ones`` 1-bits (or the set itself), of at most ``max_size`` sets.
 
-    The rule is sequential, but a prefix with more than ``min_ones`` 1-bits never spans two values of the prefix
-    up to the bit after them, so these values are split independently of each other."""
-    b = Bits.of()
-    text = b.to_ascii()
-    head = b.kth_bit(min_ones) + 1
-    dealt = filters.withColumns({"_text": text, "_head": F.substring(text, F.lit(1), F.least(head, F.lit(WIDTH)))})
+    Runs are cut apart within heads, the prefixes up to the bit after ``min_ones`` 1-bits, as no run spans two of
+    them. Heads that too many sets share are made longer by a 1-bit, until a task can hold each."""
+    text = Bits.of().to_ascii()
+    ones = Bits.of().positions()
+    dealt = cut(filters.withColumns({"_text": text, "_head": F.substring(text, F.lit(1), F.coalesce(F.get(ones, F.lit(min_ones)) + 1, F.lit(WIDTH)))}))
+    for depth in range(min_ones + 1, WIDTH):
+        large = cut(dealt.groupBy("_head").agg(F.count("*").alias("_n")).filter((F.col("_n") > HEAD_SETS) & (F.length("_head") < WIDTH)).select("_head", F.lit(True).alias("_large")))
+        if not large.limit(1).count():
+            break
+        longer = F.substring("_text", F.lit(1), F.coalesce(F.get(ones, F.lit(depth)) + 1, F.lit(WIDTH)))
+        dealt = cut(dealt.join(large, "_head", "left").withColumn("_head", F.when(F.col("_large"), longer).otherwise(F.col("_head"))).drop("_large"))
+    ship(filters.sparkSession)
     kind = filters.schema.simpleString()[len("struct<") : -1]
 
-    def split(pdf):
-        pdf = pdf.sort_values("_text", ascending=False, kind="stable").reset_index(drop=True)
-        rows = pdf["_text"].tolist()
-        run, starts, f = [0] * len(rows), 0, 0
-        while f < len(rows):
-            length, end, g = WIDTH, f + 1, f + 1
-            while g < len(rows) and g - f < max_size:
-                shared = next((i for i, (x, y) in enumerate(zip(rows[f], rows[g], strict=True)) if x != y), WIDTH)
-                if shared < length:
-                    length, end = shared, g
-                g += 1
-            end = g if g == len(rows) else end
-            run[f:end] = [starts] * (end - f)
-            starts, f = starts + 1, end
-        return pdf.assign(run=run).drop(columns=["_text"])
-
-    runs = dealt.groupBy("_head").applyInPandas(split, f"{kind}, _head string, run int")
-    names = runs.select("_head", "run").distinct().withColumn("pid", F.row_number().over(Window.orderBy(F.col("_head").desc(), "run")).cast("bigint") - 1)
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_text", ascending=False, kind="stable")
+        return pdf.assign(run=cut_runs(pdf["_text"].to_numpy(), max_size)).drop(columns="_text")
+
+    runs = cut(dealt.groupBy("_head").applyInPandas(split, f"{kind}, _head string, run bigint"))
+    names = cut(runs.select("_head", "run").distinct().withColumn("pid", F.monotonically_increasing_id()))
     return runs.join(names, ["_head", "run"]).select(*filters.columns, "pid")
 
 

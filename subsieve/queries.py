@@ -15,10 +15,10 @@ from subsieve.functions import bloom
 from subsieve.functions.bits import Bits, common_all, union_all
 from subsieve.operators import match, workload
 from subsieve.operators.database import net
-from subsieve.plans.partition import balanced_partitions
+from subsieve.plans.partition import balanced_partitions, leading_runs, prefixes
 from subsieve.schema import words
 from subsieve.sources import binary, text
-from subsieve.streaming.match_stream import match_stream, to_table
+from subsieve.streaming.match_stream import drain, match_stream, to_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,19 +113,24 @@ def cover_exact(spark, sf_dir):
 
 BLOOM_COVER = f"""WITH {SQL_PARTS}, {SQL_ORDERS},
     kinds AS (SELECT {POSITIONS.format("tags")} AS p, count(*) AS n, sum(key) AS s FROM parts GROUP BY p),
-    asked AS (SELECT qid, {POSITIONS.format("query_tags")} AS q FROM orders_ WHERE qid IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')),
+    asked AS (SELECT qid, {POSITIONS.format("query_tags")} AS q FROM orders_),
     hits AS (SELECT qid, sum(n) AS n, sum(s) AS s FROM asked JOIN kinds ON list_has_all(q, p) GROUP BY qid)
     SELECT qid, CAST(coalesce(n, 0) AS BIGINT) AS matches, CAST(coalesce(s, 0) AS BIGINT) AS key_sum FROM asked LEFT JOIN hits USING (qid)"""
 
 
-def bloom_cover(spark: SparkSession, sf_dir: str, strategy: str, asked: DataFrame | None = None, **options) -> DataFrame:
-    """Matches of the bit sets of ``asked`` (finished urgent orders by default) among the parts' bit sets, false positives included."""
-    if asked is None:
-        urgent = read(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").select(F.col("o_orderkey").alias("qid"))
-        asked = orders(spark, sf_dir).join(urgent, "qid", "left_semi")
-    asked = coded(asked, "query_tags").select("qid", *WORDS)
-    kinds = coded(parts(spark, sf_dir), "tags").groupBy(*WORDS).agg(F.count("*").alias("n"), F.sum("key").alias("s"))
-    hits = match.pairs(kinds, asked, strategy=strategy, **options).groupBy("qid").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+def bloom_cover(spark: SparkSession, sf_dir: str, strategy: str, **options) -> DataFrame:
+    """Matches of the orders' bit sets among the parts' bit sets, false positives included."""
+    asked = coded(orders(spark, sf_dir), "query_tags").select("qid", *WORDS)
+    return cover_counts(asked, match.pairs(kinds(spark, sf_dir), asked, strategy=strategy, **options))
+
+
+def kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts' distinct bit sets with number and sum of their keys."""
+    return coded(parts(spark, sf_dir), "tags").groupBy(*WORDS).agg(F.count("*").alias("n"), F.sum("key").alias("s"))
+
+
+def cover_counts(asked: DataFrame, found: DataFrame) -> DataFrame:
+    hits = found.groupBy("qid").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     return asked.select("qid").join(hits, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).cast("bigint").alias("matches"), F.coalesce("s", F.lit(0)).cast("bigint").alias("key_sum"))
 
 
@@ -134,6 +139,12 @@ def subset_nested_loop(spark, sf_dir):
     return bloom_cover(spark, sf_dir, "nested_loop")
 
 
+@query(BLOOM_COVER)
+def subset_popcounts(spark, sf_dir):
+    """The nested loop behind a test of the numbers of bits."""
+    return bloom_cover(spark, sf_dir, "nested_loop", popcounts=True)
+
+
 @query(BLOOM_COVER)
 def subset_mask_routed(spark, sf_dir):
     return bloom_cover(spark, sf_dir, "mask_routed", max_partition=100)
@@ -144,20 +155,17 @@ def subset_anchor(spark, sf_dir):
     return bloom_cover(spark, sf_dir, "anchor")
 
 
-#: All orders against all parts; DuckDB is slow at so many list tests, the tests hold these against brute force.
-@query()
-def cover_nested_loop(spark, sf_dir):
-    return bloom_cover(spark, sf_dir, "nested_loop", orders(spark, sf_dir))
-
-
-@query()
-def cover_mask_routed(spark, sf_dir):
-    return bloom_cover(spark, sf_dir, "mask_routed", orders(spark, sf_dir), max_partition=100)
-
-
-@query()
-def cover_anchor(spark, sf_dir):
-    return bloom_cover(spark, sf_dir, "anchor", orders(spark, sf_dir))
+@query(BLOOM_COVER)
+def subset_two_files(spark, sf_dir):
+    """The two stages from files: partitions' masks and partitioned sets, written and read back."""
+    rows, masks = balanced_partitions(kinds(spark, sf_dir).withColumn("keys", F.array("n", "s")), 100)
+    names, path = workload.numbered(masks, "pid"), files(spark, "two")  # ids in files have 32 bits
+    small = rows.join(names.select("pid", "place"), "pid").drop("pid").withColumnRenamed("place", "pid")
+    text.partitioned_lines(small).write.text(f"{path}/sets")
+    text.prefix_lines(names.drop("pid").withColumnRenamed("place", "pid").withColumn("length", F.lit(192))).write.text(f"{path}/prefixes")
+    back = text.read_partitioned(spark, f"{path}/sets").withColumns({"n": F.get("keys", F.lit(0)), "s": F.get("keys", F.lit(1))}).drop("keys")
+    asked = coded(orders(spark, sf_dir), "query_tags").select("qid", *WORDS)
+    return cover_counts(asked, match.mask_routed(back, asked, partitioned=(back, text.read_prefixes(spark, f"{path}/prefixes"))))
 
 
 @query("""WITH b AS (SELECT item_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda w: w <> '')) AS words FROM benchmark),
@@ -190,32 +198,24 @@ def users_within(spark, sf_dir):
     return match.tag_anchor(f, q, ["least"]).groupBy("qid").agg(F.sum("n").cast("bigint").alias("users_within"))
 
 
-@query(USER_PAIRS + f", p AS (SELECT least, n, {POSITIONS.format('tags')} AS p FROM u) SELECT b.least AS qid, CAST(sum(a.n) AS BIGINT) AS users_around FROM p a JOIN p b ON list_has_all(a.p, b.p) GROUP BY b.least")
-def users_around(spark, sf_dir):
+AROUND = USER_PAIRS + f", p AS (SELECT least, n, {POSITIONS.format('tags')} AS p FROM u) SELECT b.least AS qid, CAST(sum(a.n) AS BIGINT) AS users_around FROM p a JOIN p b ON list_has_all(a.p, b.p) GROUP BY b.least"
+
+
+def around(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
     """Superset search: the users whose bit set contains the profile's."""
     f = coded(profiles(spark, sf_dir), "tags").select("least", "n", *WORDS)
     q = f.select(F.col("least").alias("qid"), *WORDS)
-    return match.pairs(f, q, "superset").groupBy("qid").agg(F.sum("n").cast("bigint").alias("users_around"))
-
-
-def first_match(spark: SparkSession, sf_dir: str, found: bool) -> DataFrame:
-    """Profiles that (don't) hold the bits of a profile of at most three kinds of events, their own among them."""
-    p = coded(profiles(spark, sf_dir), "tags")
-    small = p.filter(F.size("tags") <= 3).select(*WORDS)
-    return match.matching(small, p.select(F.col("least").alias("qid"), *WORDS), found).select("qid")
+    return match.pairs(f, q, "superset", strategy=strategy).groupBy("qid").agg(F.sum("n").cast("bigint").alias("users_around"))
 
 
-FIRST = USER_PAIRS + f", p AS (SELECT least, tags, {POSITIONS.format('tags')} AS p FROM u) SELECT least AS qid FROM p b WHERE {{}} EXISTS (SELECT 1 FROM p a WHERE len(a.tags) <= 3 AND list_has_all(b.p, a.p))"
-
-
-@query(FIRST.format(""))
-def users_semi(spark, sf_dir):
-    return first_match(spark, sf_dir, True)
+@query(AROUND)
+def users_around(spark, sf_dir):
+    return around(spark, sf_dir, "auto")
 
 
-@query(FIRST.format("NOT"))
-def users_anti(spark, sf_dir):
-    return first_match(spark, sf_dir, False)
+@query(AROUND)
+def users_around_anchor(spark, sf_dir):
+    return around(spark, sf_dir, "anchor")
 
 
 def other_match(spark: SparkSession, sf_dir: str, found: bool) -> DataFrame:
@@ -228,12 +228,12 @@ OTHER = USER_PAIRS + f", p AS (SELECT least, {POSITIONS.format('tags')} AS p FRO
 
 
 @query(OTHER.format(""))
-def users_semi_whole(spark, sf_dir):
+def users_semi(spark, sf_dir):
     return other_match(spark, sf_dir, True)
 
 
 @query(OTHER.format("NOT"))
-def users_anti_whole(spark, sf_dir):
+def users_anti(spark, sf_dir):
     return other_match(spark, sf_dir, False)
 
 
@@ -278,6 +278,8 @@ def suppliers_totals(spark, sf_dir):
 
 # ---------------------------------------------------------------- scalar functions and counts
 
+#: The 0/1 text of a list of positions.
+SQL_ASCII = "list_aggregate(list_transform(range(0, 192), lambda i: CASE WHEN list_contains({0}, i) THEN '1' ELSE '0' END), 'string_agg', '')"
 SQL_PART_BITS = f"WITH {SQL_PARTS}, p AS (SELECT key, {POSITIONS.format('tags')} AS p FROM parts)"
 
 
@@ -317,6 +319,20 @@ def bit_pairs(spark, sf_dir):
     return neighbours(spark, sf_dir).select("key", (x | y).popcount().alias("either"), (x & y).popcount().alias("both_"), (x ^ y).popcount().alias("one"), x.leftmost_diff(y).alias("diff"), x.less(y).alias("less"), x.prefix_subset_of(y, 64).alias("prefix_subset"), x.suffix_subset_of(y, 150).alias("suffix_subset"), x.range_subset_of(y, 50, 80).alias("range_subset"), x.prefix_equal(y, 20).alias("prefix_equal"), x.subset_of(y).alias("subset"))
 
 
+@query(
+    SQL_NEIGHBOURS
+    + f""" SELECT key, 0 AS cleared, 192 AS filled, {SQL_ASCII.format("list_append(x, 77)")} AS with_77, coalesce(list_contains(x, list_min(z)), false) AS greater,
+    CAST(coalesce(list_sum(list_transform(list_filter(x, lambda i: i < 32), lambda i: 2::BIGINT ** i)), 0) AS BIGINT) AS low, CAST(coalesce(list_sum(list_transform(list_filter(x, lambda i: i >= 160), lambda i: 2::BIGINT ** (i - 160))), 0) AS BIGINT) AS high,
+    CAST(coalesce(list_sum(list_transform(x, lambda i: i + 1)), 0) AS BIGINT) AS suffix_sum FROM d"""
+)
+def bit_edits(spark, sf_dir):
+    """Clear, fill, set one bit, the reverse order, 32-bit views, and the sum of all suffix counts."""
+    x, y = Bits.of("b"), Bits.of("q")
+    views = x.uint32()
+    total = F.aggregate(x.suffix_popcounts(), F.lit(0).cast("bigint"), lambda a, n: a + n)
+    return neighbours(spark, sf_dir).select("key", Bits.empty().popcount().alias("cleared"), Bits.full().popcount().alias("filled"), x.set_bit(77).to_ascii().alias("with_77"), x.greater(y).alias("greater"), views[0].alias("low"), views[5].alias("high"), total.alias("suffix_sum"))
+
+
 @query(SQL_PART_BITS + ", f AS (SELECT unnest(p) AS pos, count(*) AS freq FROM p GROUP BY pos) SELECT CAST(i AS INT) AS pos, CAST(coalesce(freq, 0) AS BIGINT) AS freq, 100.0::DOUBLE * coalesce(freq, 0) / (SELECT count(*) FROM p) AS pct FROM range(0, 192) t(i) LEFT JOIN f ON pos = i")
 def bit_frequency(spark, sf_dir):
     return workload.frequencies(part_bits(spark, sf_dir))
@@ -340,9 +356,18 @@ def permuted(spark, sf_dir):
 def sorted_sets(spark, sf_dir):
     """Distinct sets by descending bit order with their place, numbered by a distributed sort and per-partition offsets."""
     rows = part_bits(spark, sf_dir).groupBy(Bits.of().to_ascii().alias("ascii")).agg(F.min("key").alias("least"))
-    ranged = rows.repartitionByRange(F.col("ascii").desc()).sortWithinPartitions(F.col("ascii").desc())
-    rdd = ranged.rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0], x[0][1]))
-    return spark.createDataFrame(rdd, "place bigint, ascii string, least bigint")
+    return workload.numbered(rows, F.col("ascii").desc()).select((F.col("place") + 1).alias("place"), "ascii", "least")
+
+
+@query(SQL_PART_BITS + ", t AS (SELECT DISTINCT " + SQL_ASCII.format("p") + " AS ascii FROM p) SELECT ascii FROM t ORDER BY ascii DESC LIMIT 20")
+def greatest_sets(spark, sf_dir):
+    """The first 20 sets in descending order (the feature of stopping early)."""
+    return workload.sort_descending(part_bits(spark, sf_dir).select(*WORDS).distinct(), first=20).select(Bits.of().to_ascii().alias("ascii"))
+
+
+@query(SQL_PART_BITS + " SELECT CAST(count(*) AS BIGINT) AS sets, CAST(min(len(p)) AS INT) AS least, CAST(max(len(p)) AS INT) AS most, avg(len(p)) AS mean FROM p")
+def popcount_range(spark, sf_dir):
+    return workload.popcount_range(part_bits(spark, sf_dir))
 
 
 @query(SQL_PART_BITS + f", b AS (SELECT p_brand, unnest(p) AS i FROM p JOIN part ON key = p_partkey) SELECT p_brand, CAST(count(DISTINCT i) AS INT) AS union_bits, CAST((SELECT count(*) FROM (SELECT i FROM b b2 WHERE b2.p_brand = b.p_brand GROUP BY i HAVING count(*) = (SELECT count(*) FROM part WHERE part.p_brand = b.p_brand))) AS INT) AS common_bits FROM b GROUP BY p_brand")
@@ -355,33 +380,87 @@ def brand_masks(spark, sf_dir):
 
 # ---------------------------------------------------------------- database, partitions, files, streams
 
-CHANGES_SQL = """WITH c AS (SELECT event_type, user_id, event_id, CASE WHEN event_id % 5 < 3 THEN 'add' ELSE 'remove' END AS op FROM events WHERE user_id IS NOT NULL),
-    last AS (SELECT event_type, user_id, arg_max(op, event_id) AS op FROM c GROUP BY event_type, user_id)
-    SELECT event_type, CAST(count(*) AS BIGINT) AS keys, CAST(sum(user_id) AS BIGINT) AS key_sum FROM last WHERE op = 'add' GROUP BY event_type"""
+CHANGES_SQL = """WITH e AS (SELECT event_type, user_id, event_id FROM events WHERE user_id IS NOT NULL),
+    old AS (SELECT DISTINCT event_type, user_id FROM e WHERE event_id % 7 = 0),
+    last AS (SELECT event_type, user_id, arg_max(CASE WHEN event_id % 5 < 3 THEN 'add' ELSE 'remove' END, event_id) AS op FROM e WHERE event_id % 7 > 3 GROUP BY event_type, user_id),
+    kept AS (SELECT event_type, user_id FROM old ANTI JOIN last USING (event_type, user_id) UNION ALL SELECT event_type, user_id FROM last WHERE op = 'add')
+    SELECT event_type, CAST(count(*) AS BIGINT) AS keys, CAST(sum(user_id) AS BIGINT) AS key_sum FROM kept GROUP BY event_type"""
 
 
-@query(CHANGES_SQL)
-def changelog(spark, sf_dir):
-    """A database of event types (sets) and users (keys) after adds and removes in event order; the last one wins."""
+def event_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events with the set of their type and the user as key, and the types' names and sets."""
     e = read(spark, sf_dir, "events").filter("user_id is not null")
     set_ = bloom.encode(F.array(bloom.tag_id(F.col("event_type")))).columns()
-    changes = e.select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 5 < 3, "add").otherwise("remove").alias("op"), *set_, F.col("user_id").alias("key"))
-    names = e.select("event_type").distinct().select("event_type", *set_)
-    old = changes.select(*WORDS, "key").limit(0)
+    return e.select("event_id", *set_, F.col("user_id").alias("key")), e.select("event_type").distinct().select("event_type", *set_)
+
+
+@query(CHANGES_SQL)
+def changelog(spark, sf_dir):
+    """A database of event types (sets) and users (keys): old rows, then adds and removes in event order; the last one wins."""
+    e, names = event_sets(spark, sf_dir)
+    old = e.filter("event_id % 7 = 0").select(*WORDS, "key").distinct()
+    changes = e.filter("event_id % 7 > 3").select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 5 < 3, "add").otherwise("remove").alias("op"), *WORDS, "key")
     return net(old, changes).join(names, WORDS).groupBy("event_type").agg(F.count("*").alias("keys"), F.sum("key").alias("key_sum"))
 
 
-@query(SQL_PART_BITS + " SELECT CAST(count(*) AS BIGINT) AS rows_, CAST(count(DISTINCT p) AS BIGINT) AS sets, true AS masks_hold, true AS sizes_hold, true AS masks_not_empty FROM p")
+LIFE_SQL = """WITH e AS (SELECT event_type, user_id, event_id % 4 AS turn FROM events WHERE user_id IS NOT NULL),
+    one AS (SELECT event_type, user_id FROM e WHERE turn = 0), two AS (SELECT event_type, user_id FROM e WHERE turn = 1),
+    three AS (SELECT event_type, user_id FROM e WHERE turn = 2), kept AS ((SELECT * FROM one EXCEPT SELECT * FROM two) UNION SELECT * FROM three)
+    SELECT event_type, CAST(count(*) AS BIGINT) AS keys, CAST(sum(user_id) AS BIGINT) AS key_sum, 2::BIGINT AS versions FROM kept GROUP BY event_type"""
+
+
+@query(LIFE_SQL)
+def database_life(spark, sf_dir):
+    """Added and published by one object; removed by a second, added again by a third, published by a fourth."""
+    from subsieve.operators.database import TagDatabase
+
+    e, names = event_sets(spark, sf_dir)
+    path, turn = files(spark, "db"), lambda k: e.filter(F.col("event_id") % 4 == k).select(*WORDS, "key")
+    first = TagDatabase(spark, path)
+    first.add(turn(0))
+    first.consolidate()
+    TagDatabase(spark, path).remove(turn(1))
+    TagDatabase(spark, path).add(turn(2))
+    last = TagDatabase(spark, path)
+    last.consolidate()
+    rows = last.snapshot().select(*WORDS, F.explode("keys").alias("key")).join(names, WORDS)
+    return rows.groupBy("event_type").agg(F.count("*").alias("keys"), F.sum("key").alias("key_sum")).withColumn("versions", F.lit(len(last.versions)).cast("bigint"))
+
+
+@query("SELECT event_type, arg_max(user_id, event_id) AS last_user FROM events WHERE user_id IS NOT NULL GROUP BY event_type")
+def latest_values(spark, sf_dir):
+    """One value per set, the one that was put last."""
+    e, names = event_sets(spark, sf_dir)
+    return match.latest(e, "key", "event_id").join(names, WORDS).select("event_type", F.col("key").alias("last_user"))
+
+
+INVARIANTS = SQL_PART_BITS + " SELECT CAST(count(*) AS BIGINT) AS rows_, CAST(sum(key) AS BIGINT) AS key_sum, CAST(sum(len(p)) AS BIGINT) AS bits, CAST(count(DISTINCT p) AS BIGINT) AS sets, CAST(0 AS BIGINT) AS too_large, CAST(0 AS BIGINT) AS too_short FROM p"
+
+
+def invariants(rows: DataFrame, masks: DataFrame, most: int, ones: int) -> DataFrame:
+    """Of a partitioning: rows, keys, bits inside and outside of their masks, sets; partitions over ``most`` sets and masks under ``ones`` bits."""
+    b, m = Bits.of(), Bits.of("m")
+    held = rows.join(masks, "pid").agg(F.count("*").alias("rows_"), F.sum("key").alias("key_sum"), F.sum((m.popcount() + b.minus(m).popcount()).cast("bigint")).alias("bits"))
+    sets = rows.select("pid", *WORDS).distinct().groupBy("pid").agg(F.count("*").alias("n"))
+    size = masks.join(sets, "pid").agg(F.sum("n").alias("sets"), F.sum((F.col("n") > most).cast("bigint")).alias("too_large"), F.sum((m.popcount() < ones).cast("bigint")).alias("too_short"))
+    return held.join(F.broadcast(size), F.lit(True))
+
+
+@query(INVARIANTS)
 def partition_invariants(spark, sf_dir):
-    """Balanced partitions of the parts' sets: every row once, masks within their sets, sizes kept."""
-    rows, masks = balanced_partitions(part_bits(spark, sf_dir), 50)
-    j = rows.join(masks, "pid")
-    size = masks.agg(F.sum("size").alias("sets"), (F.max("size") <= 50).alias("sizes_hold"), F.min((~Bits.of("m").is_empty()).cast("int")).alias("x"))
-    held = j.agg(F.count("*").alias("rows_"), F.min(Bits.of("m").subset_of(Bits.of()).cast("int")).alias("y"))
-    return held.join(size, F.lit(True)).select("rows_", "sets", (F.col("y") == 1).alias("masks_hold"), "sizes_hold", (F.col("x") == 1).alias("masks_not_empty"))
+    """Balanced partitions of the parts' sets: every row in one, masks within their sets, sizes kept."""
+    return invariants(*balanced_partitions(part_bits(spark, sf_dir), 50), 50, 1)
+
+
+@query(INVARIANTS)
+def prefix_invariants(spark, sf_dir):
+    """The split by prefixes: runs of distinct sets in descending order that share more than two leading bits."""
+    p = part_bits(spark, sf_dir)
+    rows = p.join(leading_runs(p.select(*WORDS).distinct(), 40, 2), WORDS)
+    return invariants(rows, prefixes(rows), 40, 3)
 
 
-ROUND_TRIP = SQL_PART_BITS + " SELECT key, list_aggregate(list_transform(range(0, 192), lambda i: CASE WHEN list_contains(p, i) THEN '1' ELSE '0' END), 'string_agg', '') AS ascii FROM p"
+ROUND_TRIP = SQL_PART_BITS + f" SELECT key, {SQL_ASCII.format('p')} AS ascii FROM p"
 
 
 def files(spark: SparkSession, name: str) -> str:
@@ -408,26 +487,78 @@ def binary_round_trip(spark, sf_dir):
     return binary.read_filters(spark, f"file://{path}").select(F.get("keys", F.lit(0)).alias("key"), Bits.of().to_ascii().alias("ascii"))
 
 
-@query(SUPPLIERS + ", a AS (SELECT segment, list(key) AS k FROM m GROUP BY segment) SELECT segment, CAST(len(k) AS BIGINT) AS keys FROM a")
-def stream_match(spark, sf_dir):
-    """The segments' queries as a stream against a published database."""
+@query(SQL_PART_BITS + f""", a AS (SELECT key, p, {SQL_ASCII.format('p')} AS ascii, {SQL_ASCII.format('list_filter(p, lambda i: i < 50)')} AS head FROM p)
+    SELECT 'partitioned' AS kind, key % 7 AS pid, key, ascii FROM a UNION ALL SELECT 'prefix', key, key + 1, head FROM a UNION ALL SELECT 'query', NULL, NULL, ascii FROM a""")
+def formats_round_trip(spark, sf_dir):
+    """Partitioned sets, prefixes and queries: written as lines, converted to binary records, read back."""
+    p, path = part_bits(spark, sf_dir).withColumn("keys", F.array("key")), files(spark, "formats")
+    local = path.removeprefix("file://").removeprefix("file:")
+    given = {
+        "partitioned": text.partitioned_lines(p.withColumn("pid", F.col("key") % 7)),
+        "prefixes": text.prefix_lines(p.select(F.col("key").alias("pid"), *Bits.of().between(0, 50).columns("m"), F.lit(50).alias("length"), (F.col("key") + 1).alias("size"))),
+        "queries": text.query_lines(p),
+    }
+    for kind, lines in given.items():
+        lines.write.text(f"{path}/{kind}")
+        binary.convert(spark, kind, f"{path}/{kind}", f"{local}/{kind}-binary")
+    ascii_, none = Bits.of().to_ascii().alias("ascii"), F.lit(None).cast("bigint")
+    one = binary.read_partitioned(spark, f"file://{local}/partitioned-binary").select(F.lit("partitioned").alias("kind"), "pid", F.get("keys", F.lit(0)).alias("key"), ascii_)
+    two = binary.read_prefixes(spark, f"file://{local}/prefixes-binary").select(F.lit("prefix").alias("kind"), "pid", F.col("size").alias("key"), Bits.of("m").to_ascii().alias("ascii"))
+    return one.union(two).union(binary.read_queries(spark, f"file://{local}/queries-binary").select(F.lit("query").alias("kind"), none.alias("pid"), none.alias("key"), ascii_))
+
+
+@query(SQL_PART_BITS + """, f AS (SELECT i AS pos, (SELECT count(*) FROM p WHERE list_contains(p, i)) AS freq FROM range(0, 192) t(i)), r AS (SELECT pos, row_number() OVER (ORDER BY freq, pos) - 1 AS place FROM f),
+    b AS (SELECT key, unnest(p) AS pos FROM p), m AS (SELECT key, list(place) AS p FROM b JOIN r USING (pos) GROUP BY key) SELECT key, """ + SQL_ASCII.format("p") + " AS ascii FROM m")
+def permuted_by_file(spark, sf_dir):
+    """Positions from the rarest, written as a permutation file, read back and applied."""
+    p, path = part_bits(spark, sf_dir), files(spark, "permutation")
+    text.frequency_lines(workload.frequencies(p).orderBy("freq", "pos").coalesce(1)).write.text(path)
+    return workload.permute(p, text.read_permutation(spark, path)).select("key", Bits.of().to_ascii().alias("ascii"))
+
+
+@query(SQL_PART_BITS + f", d AS (SELECT {SQL_ASCII.format('p')} AS ascii, min(key) AS least, string_agg(CAST(key AS VARCHAR), ' ' ORDER BY key) AS keys FROM p GROUP BY ascii) SELECT 'query=' || least || ' ' || keys AS line, ascii FROM d")
+def dictionary_lines(spark, sf_dir):
+    """Distinct sets as a generator's dictionary, written from their last bit and read back, beside the result lines of their keys."""
+    kept = match.merged_keys(part_bits(spark, sf_dir)).withColumn("least", F.array_min("keys"))
+    path = files(spark, "dictionary")
+    kept.select(F.concat(F.lit("+ "), F.col("least").cast("string"), F.lit(" "), F.reverse(Bits.of().to_ascii()))).write.text(path)
+    lines = text.result_lines(kept.select(F.col("least").alias("qid"), "keys")).select(F.col("value").alias("line"), F.regexp_extract("value", "^query=([0-9]+)", 1).cast("bigint").alias("iface"))
+    return lines.join(text.read_dictionary(spark, path), "iface").select("line", Bits.of().to_ascii().alias("ascii"))
+
+
+STREAMED = SUPPLIERS + ", a AS (SELECT segment, list(key) AS k FROM m GROUP BY segment) SELECT segment, CAST(len(k) AS BIGINT) AS keys FROM a"
+
+
+def streamed(spark: SparkSession, sf_dir: str, latency_ms: int) -> DataFrame:
+    """The segments' queries as a stream against a published database; with a latency limit the stream is drained and stopped."""
     from subsieve.operators.database import TagDatabase
     from subsieve.schema import QUERIES as STREAM
 
     f, q = nations(spark, sf_dir)
     base = files(spark, "stream")
-    db = TagDatabase(spark, f"{base}/db")
+    db = TagDatabase(spark, f"{base}/db", latency_ms)
     db.add(coded(f, "tags").select("key", *WORDS))
     db.consolidate()
     named = q.withColumn("qid", F.xxhash64("segment"))
     exact = f.select("key", "tags")
     coded(named, "query_tags").select("qid", *WORDS).write.parquet(f"{base}/queries")
     stream = spark.readStream.schema(STREAM).parquet(f"{base}/queries")
-    match_stream(db, stream, to_table(f"{base}/out"), f"{base}/checkpoint").awaitTermination()
+    run = match_stream(db, stream, to_table(f"{base}/out"), f"{base}/checkpoint")
+    drain(run) if latency_ms else run.awaitTermination()
     got = spark.read.parquet(f"{base}/out").select("qid", F.explode("keys").alias("key")).join(named, "qid").join(exact, "key")
     return got.filter(F.size(F.array_except("tags", "query_tags")) == 0).groupBy("segment").agg(F.count("*").alias("keys"))
 
 
+@query(STREAMED)
+def stream_match(spark, sf_dir):
+    return streamed(spark, sf_dir, 0)
+
+
+@query(STREAMED)
+def stream_latency(spark, sf_dir):
+    return streamed(spark, sf_dir, 200)
+
+
 @query()
 def generated(spark, sf_dir):
     """Zipf-tagged random sets, matched with themselves: a generator has no SQL."""

@@ -1,14 +1,15 @@
 """Binary records, little endian: sets 24 bytes, prefixes 33, and rows with a counted list of 32-bit keys.
 
 Records of one length are read by Hadoop's fixed-length input, which splits files at records; rows with keys
-have no such places and are read file by file. Files are written one per partition, by any Hadoop file system.
+have no such places and are read file by file. Files are written one per partition, by Python, to a folder that
+all executors mount.
 """
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,9 @@ WORDS = words()
 
 
 def _records(spark: SparkSession, path: str, size: int) -> DataFrame:
-    return spark.createDataFrame(spark.sparkContext.binaryRecords(path, size).map(lambda r: (bytearray(r),)), "raw binary")
+    jvm = spark.sparkContext._jvm
+    rdd = spark.sparkContext._jsc.sc().binaryRecords(path, size, spark.sparkContext._jsc.hadoopConfiguration())
+    return DataFrame(spark._jsparkSession.createDataset(rdd, jvm.org.apache.spark.sql.Encoders.BINARY()).toDF(), spark).toDF("raw")
 
 
 def _number(at: int, size: int) -> Column:
@@ -39,25 +42,34 @@ def read_prefixes(spark: SparkSession, path: str) -> DataFrame:
     return _records(spark, path, 33).select(_number(25, 4).alias("pid"), *Bits.from_binary(F.substring("raw", 1, 24)).columns("m"), _number(24, 1).cast("int").alias("length"), _number(29, 4).alias("size"))
 
 
+def parse(raw: bytes, with_pid: bool) -> pa.RecordBatch:
+    """All rows of a file: their places one by one, as each says how long it is, and their values at once."""
+    if len(raw) % 4:
+        raise ValueError("the file ends within a row")
+    values, head = np.frombuffer(raw, "<u4"), 1 if with_pid else 0
+    counts, at, starts = memoryview(values), 0, []
+    while at < len(counts):
+        starts.append(at)
+        at += head + 7 + counts[at + head + 6] if at + head + 6 < len(counts) else len(counts) + 1
+    if at != len(counts):
+        raise ValueError("the file ends within a row")
+    first = np.array(starts, np.int64)
+    word = lambda k: (values[first + head + 2 * k].astype(np.uint64) | values[first + head + 2 * k + 1].astype(np.uint64) << np.uint64(32)).view(np.int64)
+    sizes = values[first + head + 6].astype(np.int64)
+    ends = np.cumsum(sizes)
+    keys = values[np.repeat(first + head + 7 - (ends - sizes), sizes) + np.arange(sizes.sum())].astype(np.int64)
+    listed = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(keys))
+    pid = pa.array(values[first].astype(np.int64)) if with_pid else pa.nulls(len(first), pa.int64())
+    return pa.RecordBatch.from_arrays([*(pa.array(word(k)) for k in range(3)), listed, pid], names=[*WORDS, "keys", "pid"])
+
+
 def _read_rows(spark: SparkSession, path: str, with_pid: bool) -> DataFrame:
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for raw in b.column(0).to_pylist():
-                at, rows = 0, []
-                while at < len(raw):
-                    pid = None
-                    if with_pid:
-                        (pid,) = struct.unpack_from("<I", raw, at)
-                        at += 4
-                    *w, n = struct.unpack_from("<3qI", raw, at)
-                    at += 28
-                    rows.append((*w, list(struct.unpack_from(f"<{n}I", raw, at)), pid))
-                    at += 4 * n
-                cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[*WORDS, "keys", "pid"])
+                yield parse(raw, with_pid)
 
     files = spark.read.format("binaryFile").load(path).select("content")
     out = files.mapInArrow(run, "b0 bigint, b1 bigint, b2 bigint, keys array<bigint>, pid bigint")
@@ -74,20 +86,27 @@ def read_partitioned(spark: SparkSession, path: str) -> DataFrame:
     return _read_rows(spark, path, True)
 
 
+def _digits(c: Column, size: int) -> Column:
+    """Hexadecimal digits of a number's little-endian bytes."""
+    digits = F.lpad(F.hex(c.cast("bigint")), 2 * size, "0")
+    return F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in range(size - 1, -1, -1)))
+
+
 def _fixed(c: Column, size: int) -> Column:
     """A number as little-endian bytes."""
-    digits = F.lpad(F.hex(c.cast("bigint")), 2 * size, "0")
-    return F.unhex(F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in range(size - 1, -1, -1))))
+    return F.unhex(_digits(c, size))
+
+
+def _counted_keys() -> Column:
+    return F.concat(_fixed(F.size("keys"), 4), F.unhex(F.array_join(F.transform("keys", lambda k: _digits(k, 4)), "")))
 
 
 def filter_records(rows: DataFrame) -> DataFrame:
-    keys = F.aggregate("keys", F.unhex(F.lit("")), lambda out, k: F.concat(out, _fixed(k, 4)))
-    return rows.select(F.concat(Bits.of().to_binary(), _fixed(F.size("keys"), 4), keys).alias("raw"))
+    return rows.select(F.concat(Bits.of().to_binary(), _counted_keys()).alias("raw"))
 
 
 def partitioned_records(rows: DataFrame) -> DataFrame:
-    keys = F.aggregate("keys", F.unhex(F.lit("")), lambda out, k: F.concat(out, _fixed(k, 4)))
-    return rows.select(F.concat(_fixed(F.col("pid"), 4), Bits.of().to_binary(), _fixed(F.size("keys"), 4), keys).alias("raw"))
+    return rows.select(F.concat(_fixed(F.col("pid"), 4), Bits.of().to_binary(), _counted_keys()).alias("raw"))
 
 
 def prefix_records(rows: DataFrame) -> DataFrame:

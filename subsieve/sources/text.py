@@ -13,9 +13,14 @@ def _lines(spark: SparkSession, path: str, command: str) -> DataFrame:
     return spark.read.text(path).select(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("w")).filter(F.col("w")[0] == command)
 
 
+def _key(word: Column) -> Column:
+    """A key, or an error that names what stands in its place."""
+    return F.coalesce(word.try_cast("bigint"), F.raise_error(F.concat(F.lit("not a key: "), word)).cast("bigint"))
+
+
 def _keys(start: int) -> Column:
     rest = F.slice("w", start + 1, F.greatest(F.size("w") - start, F.lit(0)))
-    return F.filter(F.transform(rest, lambda x: x.try_cast("bigint")), lambda x: x.isNotNull()).alias("keys")
+    return F.transform(rest, _key).alias("keys")
 
 
 def _word(i: int) -> Column:
@@ -25,7 +30,7 @@ def _word(i: int) -> Column:
 def read_filters(spark: SparkSession, path: str, legacy: bool = False) -> DataFrame:
     """(b0..b2, keys) of ``+`` lines; ``legacy`` lines have one key before the set."""
     at = 2 if legacy else 1
-    keys = F.concat(F.filter(F.array(_word(1).try_cast("bigint")), lambda x: x.isNotNull()), _keys(3)).alias("keys") if legacy else _keys(2)
+    keys = F.concat(F.transform(F.filter(F.array(_word(1)), lambda x: x.isNotNull()), _key), _keys(3)).alias("keys") if legacy else _keys(2)
     return _lines(spark, path, "+").select(*Bits.read_ascii(_word(at)).columns(), keys)
 
 
@@ -52,8 +57,8 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_permutation(spark: SparkSession, path: str) -> list[int]:
-    """New place of each position: the n-th ``p`` line names the position that moves to n. One short file, read on the driver."""
-    old = [int(w[1]) for r in spark.read.text(path, wholetext=False).limit(100_000).collect() if (w := r[0].split()) and w[0] == "p"]
+    """New place of each position: the n-th ``p`` line names the position that moves to n. Only those lines come to the driver."""
+    old = [int(r[0][1]) for r in _lines(spark, path, "p").limit(WIDTH + 1).collect()]
     if sorted(old) != list(range(WIDTH)):
         raise ValueError(f"a permutation file must name each of {WIDTH} positions once")
     new = [0] * WIDTH

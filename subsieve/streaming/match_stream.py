@@ -22,8 +22,11 @@ def match_stream(database: TagDatabase, queries: DataFrame, handler: Callable[[D
     def answer(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        handler(database.match(batch.persist(), strategy, unique), number)
-        batch.unpersist()
+        held = batch.persist()
+        try:
+            handler(database.match(held, strategy, unique), number)
+        finally:
+            held.unpersist()
 
     writer = queries.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=f"{latency} milliseconds") if latency else writer.trigger(availableNow=True)).start()

@@ -65,3 +65,49 @@ def test_many_keys(spark, sets, tmp_path):
     db.add(df)
     db.consolidate()
     assert len(keys(db, sets, F[1])[0]) == 100_000
+
+
+def test_the_last_operation_wins_across_objects(spark, sets, tmp_path):
+    path = str(tmp_path / "db")
+    open_ = lambda: TagDatabase(spark, path)
+    one = sets([(1, F[1])], "key bigint")
+    open_().add(one)
+    open_().remove(one)
+    open_().add(one)
+    open_().consolidate()
+    assert keys(open_(), sets, F[1]) == [[1]]
+    open_().remove(one)
+    db = open_()
+    db.start()
+    db.consolidate()  # what start() held of the old version is let go
+    assert not db.started and keys(db, sets, F[1]) == [[]]
+    db.start()
+    db.add(one)
+    db.consolidate()
+    assert keys(db, sets, F[1]) == [[1]] and db.versions == [1, 2, 3]
+    db.clear()
+    assert db.versions == [] and not [p for p in (tmp_path / "db").iterdir() if not p.name.startswith(".")]
+
+
+def test_unfinished_changes_and_consolidations(spark, sets, tmp_path, monkeypatch):
+    path = tmp_path / "db"
+    db = TagDatabase(spark, str(path))
+    db.add(sets([(1, F[1])], "key bigint"))
+    (path / "changes" / "seq=2").mkdir()  # a change whose writer was lost
+    db.add(sets([(2, F[1])], "key bigint"))
+    assert sorted(r.seq for r in db.changes().collect()) == [1, 3]
+    merged = db.snapshot
+
+    def late(*a):  # a change that comes while a consolidation runs
+        monkeypatch.undo()
+        TagDatabase(spark, str(path)).add(sets([(3, F[1])], "key bigint"))
+        return merged(*a)
+
+    monkeypatch.setattr(db, "snapshot", late)
+    monkeypatch.setattr(db, "_delete", lambda p: None)  # and that ends before it has cleared away
+    db.consolidate()
+    assert keys(db, sets, F[1]) == [[1, 2]]
+    again = TagDatabase(spark, str(path))
+    assert [r.key for r in again.changes().collect()] == [3]
+    again.consolidate()
+    assert keys(again, sets, F[1]) == [[1, 2, 3]]

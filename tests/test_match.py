@@ -90,11 +90,23 @@ def test_tag_anchor(spark, monkeypatch):
 
 
 def test_large_sides_are_not_broadcast(filters, queries, monkeypatch):
+    """Beyond the bound every strategy and relation goes by equi-joins, with the same pairs."""
+    relations = [("subset", "nested_loop"), ("subset", "mask_routed"), ("subset", "auto"), ("superset", "auto"), ("subset", "anchor"), ("superset", "anchor")]
+    small = {r: sorted(match.pairs(filters, queries, r).select("qid", "key").collect()) for r in ("subset", "superset")}
     monkeypatch.setattr(match, "BROADCAST_BYTES", -1)
-    with pytest.raises(ValueError):
-        match.nested_loop(filters, queries)
-    plan = match.anchor(filters, queries)._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    monkeypatch.setattr(match, "SALT_ROWS", 2)
+    for relation, strategy in relations:
+        found = match.pairs(filters, queries, relation, strategy, **({"max_partition": 3} if strategy == "mask_routed" else {}))
+        assert sorted(found.select("qid", "key").collect()) == small[relation], (relation, strategy)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan, (relation, strategy)
+    held = {r.qid for r in match.matching(filters, queries).collect()}
+    assert held == {i for i, k in EXPECTED.items() if k}
+
+
+def test_popcounts(filters, queries):
+    for relation in ("subset", "superset"):
+        assert sorted(match.nested_loop(filters, queries, relation, popcounts=True).select("qid", "key").collect()) == sorted(match.pairs(filters, queries, relation).select("qid", "key").collect())
 
 
 def test_merged_and_latest(sets):

@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from fixtures import F, Q
 from pyspark.sql import functions as fn
 
 from subsieve.functions.bits import Bits
+from subsieve.plans import partition
 from subsieve.plans.partition import balanced_partitions, leading_runs, prefixes
 
 
@@ -40,7 +42,9 @@ def test_equal_and_empty_sets(sets):
     assert not rows.count() and not masks.count()
 
 
-def test_prefix_split(sets):
+@pytest.mark.parametrize("head_sets", [200_000, 5])
+def test_prefix_split(sets, monkeypatch, head_sets):
+    monkeypatch.setattr(partition, "HEAD_SETS", head_sets)
     rng = random.Random(4)
     given = [sorted({0, 3, 5, *rng.sample(range(6, 192), 3)}) for _ in range(20)] + [[1, 2], [7, 9, 100, 150], [7, 9, 100, 151], [191]]
     rows = leading_runs(sets([*enumerate(given)]), max_size=6, min_ones=2).cache()
@@ -56,3 +60,17 @@ def test_prefix_split(sets):
             assert text(given[r[0]])[:shared].count("1") > 2
     sizes = sorted((r.size, r.length) for r in prefixes(rows).collect())
     assert [s for s, _ in sizes] == sorted(map(len, runs)) and all(n <= 192 for _, n in sizes)
+
+
+def test_runs():
+    texts = np.array(["1111", "1110", "1100", "1011", "1010", "1000", "0111"])
+    assert partition.cut_runs(texts, 10).tolist() == [0] * 7 and partition.cut_runs(texts, 1).tolist() == [*range(7)]
+    assert partition.cut_runs(texts, 4).tolist() == [0, 0, 0, 1, 1, 1, 1]
+    assert partition.cut_runs(np.array(["11"] * 5), 2).tolist() == [0, 0, 1, 1, 2]
+
+
+def test_counts_without_a_part(sets):
+    whole, part = sets([(0, [1, 2]), (1, [2, 5])]), sets([(1, [2, 5])])
+    a, b = (df.agg(partition.bit_counts(Bits.of()).alias(n)) for df, n in ((whole, "a"), (part, "b")))
+    got = a.join(b).select(partition.less_counts(fn.col("a"), fn.col("b"))).first()[0]
+    assert {p: n for p, n in enumerate(got) if n} == {1: 1, 2: 1}

@@ -32,7 +32,7 @@ def test_semi_and_anti_match_every_other_profile(spark, tmp_path, monkeypatch, b
     semi = {b for b in bits if any(a != b and bits[a] <= bits[b] for a in bits)}
     assert 0 < len(semi) < len(bits)
     monkeypatch.setattr(match, "BROADCAST_BYTES", bound) if bound > 0 else monkeypatch.setattr(match, "size_bound", lambda df: 1 + match.BROADCAST_BYTES)
-    got = [sorted(r.qid for r in f(spark, str(tmp_path)).collect()) for f in (queries.QUERIES["users_semi_whole"], queries.QUERIES["users_anti_whole"])]
+    got = [sorted(r.qid for r in f(spark, str(tmp_path)).collect()) for f in (queries.QUERIES["users_semi"], queries.QUERIES["users_anti"])]
     assert got == [sorted(semi), sorted({*bits} - semi)]
 
 
@@ -47,6 +47,6 @@ def test_every_strategy_covers_all_orders(spark, tmp_path):
     bits = {k: positions(t) for k, t in tags.items()}
     asked = {o: positions({t for q, k in lines if q == o for t in tags[k]}) for o, *_ in orders}
     want = sorted((o, len(held), sum(held)) for o, q in asked.items() for held in [[k for k, p in bits.items() if p <= q]])
-    for name in ("cover_nested_loop", "cover_mask_routed", "cover_anchor"):
+    for name in ("subset_nested_loop", "subset_popcounts", "subset_mask_routed", "subset_anchor", "subset_two_files"):
         got = sorted(tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect())
         assert got == want and len(got) == 150

@@ -77,6 +77,7 @@ def test_permuted_matching(sets):
 def test_sort_and_lines(rows):
     texts = ["".join("1" if p in f else "0" for p in range(192)) for f in F]
     assert [r[0] for r in workload.sort_descending(rows).select(Bits.of().to_ascii()).collect()] == sorted(texts, reverse=True)
+    assert [r[0] for r in workload.sort_descending(rows, first=3).select(Bits.of().to_ascii()).collect()] == sorted(texts, reverse=True)[:3]
     lines = [r[0] for r in text.result_lines(rows.select(fn.col("id").alias("qid"), "keys")).collect()]
     assert "query=5" in lines and "query=1 0 1000000000" in lines
     assert len(text.frequency_lines(workload.frequencies(rows)).collect()) == 192
@@ -115,3 +116,43 @@ def test_sample(spark):
     assert len(got) == 30 and max(got) < 100
     assert [r.id for r in workload.sample(rows, 20, 20).collect()] == [*range(20)]
     assert workload.sample(rows, 0, 10).count() == 0 and workload.sample(rows, 50).count() == 50
+
+
+def test_bad_keys_are_refused(spark, tmp_path):
+    path = str(tmp_path / "x")
+    spark.createDataFrame([("+ 01 5 x7 9",)], "value string").write.text(path)
+    with pytest.raises(Exception, match="not a key: x7"):
+        text.read_filters(spark, path).collect()
+
+
+def test_a_permutation_after_many_other_lines(spark, tmp_path):
+    path = str(tmp_path / "x")
+    spark.range(120_000).selectExpr("concat('# ', id)").union(spark.range(192).selectExpr("concat('p ', 191 - id)")).coalesce(1).write.text(path)
+    assert text.read_permutation(spark, path) == [*range(191, -1, -1)]
+
+
+@pytest.mark.parametrize("tags,s", [("uniform", 1.0), ("zipf", 1.0), ("zipf", 6.0)])
+def test_sets_of_all_tags(spark, tags, s):
+    got = workload.generate(spark, 60, 6, 6, tags, space=6, zipf_s=s).collect()
+    assert all(sorted(r.tags) == [*range(6)] for r in got)
+    if s > 1:
+        assert sum(r.tags[0] == 0 for r in got) > 50 and sum(r.tags[1] == 1 for r in got) > 45
+    with pytest.raises(ValueError):
+        workload.generate(spark, 1, 1, 10, "uniform", space=5)
+
+
+def test_order_helpers(sets):
+    rng = __import__("random").Random(3)
+    given = [sorted(rng.sample(range(192), 5)) for _ in range(40)]
+    rows = sets([*enumerate(given)])
+    text_ = lambda p: "".join("1" if i in p else "0" for i in range(192))
+    order = sorted(range(40), key=lambda i: text_(given[i]), reverse=True)
+    placed = workload.numbered(rows, Bits.of().to_ascii().desc())
+    assert [r.id for r in placed.orderBy("place").collect()] == order and sorted(r.place for r in placed.collect()) == [*range(40)]
+    assert not workload.out_of_order(placed, "place").count()
+    wrong = {order.index(i + 1) for i in range(39) if text_(given[i + 1]) > text_(given[i])}
+    assert {order.index(r.id) for r in workload.out_of_order(rows.withColumn("place", fn.col("id")), "place").collect()} == wrong
+    parts = workload.sorted_in_partitions(rows.withColumn("pid", fn.col("id") % 3)).rdd.glom().collect()
+    for p in parts:
+        assert [(r.pid, order.index(r.id)) for r in p] == sorted((r.pid, order.index(r.id)) for r in p)
+    assert workload.popcount_range(rows).first()[:] == (40, 5, 5, 5.0)
