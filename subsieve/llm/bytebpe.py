@@ -9,8 +9,9 @@ Texts are cut into pieces before a space that is followed by a non-space; no pre
 place, so a piece encodes alike wherever it stands and a bounded per-worker cache can answer repeats.
 
 Defined results: a null text counts as empty; an empty text has no ids; no special tokens are known, so
-their strings are ordinary text; repeated rows each give a row; other columns are kept, and an output
-column replaces an input column of the same name.
+their strings are ordinary text; repeated rows each give a row; a text is read whole however long it is; an
+empty table gives an empty table; other columns are kept, whatever their names, and an output column replaces
+an input column of the same name.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField
 
-from .common import arrow_map, texts
+from .common import arrow_map, beside, texts
 
 M64 = (1 << 64) - 1
 
@@ -190,17 +191,17 @@ class ByteBPE:
 
 #: What the encoder can put beside a document: type and value from (coder, ids, decoded bytes).
 OUTPUTS = {
-    "ids": ("array<int>", pa.list_(pa.int32()), lambda c, ids, raw: ids.tolist()),
-    "n_tokens": ("bigint", pa.int64(), lambda c, ids, raw: len(ids)),
-    "ids_sha256": ("string", pa.string(), lambda c, ids, raw: hashlib.sha256(" ".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest()),
-    "decoded": ("binary", pa.binary(), lambda c, ids, raw: raw),
-    "decoded_sha256": ("string", pa.string(), lambda c, ids, raw: hashlib.sha256(raw).hexdigest()),
+    "ids": (ArrayType(IntegerType()), pa.list_(pa.int32()), lambda c, ids, raw: ids.tolist()),
+    "n_tokens": (LongType(), pa.int64(), lambda c, ids, raw: len(ids)),
+    "ids_sha256": (StringType(), pa.string(), lambda c, ids, raw: hashlib.sha256(" ".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest()),
+    "decoded": (BinaryType(), pa.binary(), lambda c, ids, raw: raw),
+    "decoded_sha256": (StringType(), pa.string(), lambda c, ids, raw: hashlib.sha256(raw).hexdigest()),
 }
 
 
 def encode(docs: DataFrame, coder: ByteBPE, text: str = "text", keep: list[str] | None = None, outputs: tuple[str, ...] = ("ids", "n_tokens")) -> DataFrame:
     """``docs`` (or its columns ``keep``) with the ``outputs`` of its texts, in one pass without a shuffle."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in outputs]
+    source, keep, schema = beside(docs, text, keep, [StructField(o, OUTPUTS[o][0]) for o in outputs])
     shared = docs.sparkSession.sparkContext.broadcast(coder)
     wanted = [OUTPUTS[o] for o in outputs]
     decoded = any(o.startswith("decoded") for o in outputs)
@@ -216,6 +217,4 @@ def encode(docs: DataFrame, coder: ByteBPE, text: str = "text", keep: list[str]
             made = [pa.array(x, kind) for x, (_, kind, _) in zip(zip(*rows, strict=True) if rows else [[]] * len(wanted), wanted, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *made], names=[*keep, *outputs])
 
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + [f"{o} {OUTPUTS[o][0]}" for o in outputs])
     return arrow_map(source, run, schema)

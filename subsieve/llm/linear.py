@@ -13,10 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField
 
 from subsieve.runtime import cut
 
-from .common import arrow_map, fold, texts
+from .common import arrow_map, beside, fold, texts
 
 #: Labelled rows that a fit reads at most, and features that a model holds at most.
 MAX_ROWS, MAX_FEATURES = 20_000, 4096
@@ -45,14 +46,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str = "
     """(y, text) of at most ``max_rows`` labelled rows outside the held-out fold, picked by a hash of their ids.
 
     Null ids, null labels and ids without a document are no examples; an id with several labels counts as its
-    largest. The pick is bounded by ``max_rows``, so it is broadcast."""
-    known = labels.select(F.col(key).alias("__k"), F.col(label).cast("int").alias("__y")).filter("__k is not null and __y is not null").filter(fold("__k", FOLDS) != HELD_OUT)
+    largest, and one with several documents or rows as its least text. The pick is bounded by ``max_rows``, so it is
+    broadcast; only picked texts are shuffled."""
+    known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("k is not null and y is not null").filter(fold("k", FOLDS) != HELD_OUT)
     part = max_rows / max(known.count(), 1)
     if part < 0.8:
-        known = known.filter(F.pmod(F.xxhash64("__k"), F.lit(1 << 30)) < int(1.2 * part * (1 << 30)))
-    pick = known.groupBy("__k").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("__k"), "__k").limit(max_rows)
-    rows = docs.select(F.col(key).alias("__k"), F.col(text).alias("text"))
-    return cut(rows.join(F.broadcast(pick), "__k").select(F.col("__y").alias("y"), "text"))
+        known = known.filter(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(1.2 * part * (1 << 30)))
+    pick = known.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(max_rows)
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
+    return cut(rows.join(F.broadcast(pick), "k").groupBy("k").agg(F.first("y").alias("y"), F.min("text").alias("text")).select("y", "text"))
 
 
 def count_features(sample: DataFrame, codes: Callable[[str], np.ndarray], flush: int = 1_000_000) -> DataFrame:
@@ -137,7 +139,7 @@ def platt(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, fl
 
 def score(docs: DataFrame, scorer: Callable[[], Callable[[str], float]], text: str, output: str, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with a score of each whole text. No shuffle."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c != output]
+    source, keep, schema = beside(docs, text, keep, [StructField(output, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = scorer()
@@ -145,6 +147,4 @@ def score(docs: DataFrame, scorer: Callable[[], Callable[[str], float]], text: s
             made = pa.array([f(t) for t in texts(b.column(b.num_columns - 1))], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], made], names=[*keep, output])
 
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + [f"`{output}` double"])
     return arrow_map(source, run, schema)

@@ -19,7 +19,9 @@ Scoring is one pass over the texts with a bounded table of the commonest words;
 with the table of all words by a shuffle.
 
 Defined results: null text counts as empty and is scored as its end alone; rows are scored one by one,
-whatever ids they have; with no training text counts are 0 and the base score of a token is log10(1 / 1).
+whatever ids they have, repeated rows alike; a text is read whole however long it is; with no training text counts
+are 0 and the base score of a token is log10(1 / 1); an empty table is scored as an empty table; columns of the
+names that scoring adds are replaced and all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
 from subsieve.runtime import cut
 
@@ -259,11 +262,37 @@ def train(docs: DataFrame, vocab: Vocabulary, text: str = "text") -> Params:
         if held:
             learn()
         if tokens:
-            flat = trainer.p.flat()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat * tokens), pa.array(np.full(len(flat), float(tokens)))], names=["k", "x", "w"])
+            yield packed(trainer.p.flat() * tokens, tokens)
 
-    summed = arrow_map(docs.select(F.col(text).alias("text")), run, "k int, x double, w double").groupBy("k").agg((F.sum("x") / F.sum("w")).alias("x")).toPandas().sort_values("k")
-    return start.filled(summed["x"].to_numpy()) if len(summed) else start
+    total, tokens = added(arrow_map(docs.select(F.col(text).alias("text")), run, SUMS))
+    return start.filled(total / tokens) if tokens else start
+
+
+#: Rows of parameters that meet in one task, or on the driver at last.
+TOGETHER = 64
+SUMS = "sums binary, tokens bigint"
+
+
+def packed(sums: np.ndarray, tokens: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([sums.astype("<f8").tobytes()], pa.binary()), pa.array([tokens], pa.int64())], names=["sums", "tokens"])
+
+
+def added(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """The sum of all rows (sums, tokens), ``TOGETHER`` of them at a time until so few are left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, tokens = 0.0, 0
+        for b in batches:
+            for sums, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                total, tokens = total + np.frombuffer(sums, "<f8"), tokens + n
+        if tokens:
+            yield packed(total, tokens)
+
+    rows = cut(rows)
+    while (n := rows.count()) > TOGETHER:
+        rows = cut(arrow_map(rows.repartition(-(-n // TOGETHER), F.xxhash64("sums")), run, SUMS))
+    got = rows.orderBy("tokens", F.xxhash64("sums")).collect()
+    return sum((np.frombuffer(r["sums"], "<f8") for r in got), np.zeros(0) if not got else 0.0), sum(r["tokens"] for r in got)
 
 
 @dataclass
@@ -286,7 +315,7 @@ class Scorer:
 
 def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, scorer: Scorer, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with n_tokens, n_known, train_tokens, base_score and score of each whole text."""
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in MADE]
     shared = docs.sparkSession.sparkContext.broadcast((vocab, scorer))
     total = vocab.tokens + vocab.distinct + 1.0
 
@@ -337,8 +366,8 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, scorer: Scorer,
             made.append(pa.array([s[3] + x for s, x in zip(sums, logs, strict=True)] + [None] * m, pa.float64()))
             yield pa.RecordBatch.from_arrays(made, names=[f"k{i}" for i in range(len(keep))] + NAMES)
 
-    source = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("__text"))
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "__row bigint, __word binary, __n bigint, n_tokens bigint, n_known bigint, base_score double, score double"])
+    source = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("text"))
+    schema = StructType([*source.schema.fields[:-1], *(StructField(n, t) for n, t in zip(NAMES, (LongType(), BinaryType(), LongType(), LongType(), LongType(), DoubleType(), DoubleType()), strict=True))])
     found = cut(arrow_map(source, run, schema))
     whole, rare = found.filter("__word is null"), found.filter("__word is not null").select("__row", F.col("__word").alias("word"), "__n")
     # words beyond the table: their counts, and their shares of their classes
@@ -358,6 +387,8 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, scorer: Scorer,
     )
 
 
+#: The columns that scoring adds; others of these names (compared without case) are replaced.
+MADE = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 NAMES = ["__row", "__word", "__n", "n_tokens", "n_known", "base_score", "score"]
 
 

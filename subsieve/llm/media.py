@@ -6,8 +6,10 @@ tests signature, chunk order and every checksum and undoes all five filters. The
 lowest cosine frequencies of the brightness, averaged to 32 x 32: bit k is 1 where coefficient k is above
 the median.
 
-Defined results: a null text counts as empty; the payload is never empty (192 spaces for an empty text);
-equal payloads give equal images and features; a damaged image raises ``ValueError``.
+Defined results: a null text counts as empty; the payload is never empty (192 spaces for an empty text); a text is
+stored whole however long it is; equal payloads, those of repeated rows too, give equal images and features; a
+damaged image raises ``ValueError``; an empty table gives an empty table; a column of an output's name is replaced
+and all other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,15 +22,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField
 
-from .common import arrow_map, blobs
+from .common import arrow_map, beside, blobs
 
 WIDTH, CHANNELS = 64, 3
 LINE = WIDTH * CHANNELS
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
+#: Rows that are held as images at once.
+ROWS = 512
+
+
+def parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (b.slice(k, ROWS) for k in range(0, b.num_rows, ROWS))
+
+
 def payload(raw: bytes) -> bytes:
     """``raw`` and spaces up to a positive multiple of a line."""
     return raw.ljust(max(LINE, -(-len(raw) // LINE) * LINE), b" ")
@@ -143,50 +153,49 @@ def dct_hash(samples: np.ndarray) -> bytes:
     return np.packbits(low > np.median(low)).tobytes()
 
 
-#: What can be put beside a document: type and value from (raw bytes, image, bytes read back, samples read back).
+#: What can be put beside an image: type and value from (stored bytes, bytes read back, samples read back).
 OUTPUTS = {
-    "n_bytes": ("bigint", pa.int64(), lambda raw, png, back, px: len(raw)),
-    "payload_bytes": ("bigint", pa.int64(), lambda raw, png, back, px: len(back)),
-    "payload_sha256": ("string", pa.string(), lambda raw, png, back, px: hashlib.sha256(back).hexdigest()),
-    "tail_crc32": ("bigint", pa.int64(), lambda raw, png, back, px: zlib.crc32(back[-16:])),
-    "media_bytes": ("bigint", pa.int64(), lambda raw, png, back, px: len(png)),
-    "media_sha256": ("string", pa.string(), lambda raw, png, back, px: hashlib.sha256(png).hexdigest()),
-    "feature": ("string", pa.string(), lambda raw, png, back, px: dct_hash(px).hex()),
-    "dct_hash": ("binary", pa.binary(), lambda raw, png, back, px: dct_hash(px)),
-    "png": ("binary", pa.binary(), lambda raw, png, back, px: png),
+    "payload": (BinaryType(), pa.binary(), lambda png, back, px: back),
+    "payload_bytes": (LongType(), pa.int64(), lambda png, back, px: len(back)),
+    "payload_sha256": (StringType(), pa.string(), lambda png, back, px: hashlib.sha256(back).hexdigest()),
+    "tail_crc32": (LongType(), pa.int64(), lambda png, back, px: zlib.crc32(back[-16:])),
+    "media_bytes": (LongType(), pa.int64(), lambda png, back, px: len(png)),
+    "media_sha256": (StringType(), pa.string(), lambda png, back, px: hashlib.sha256(png).hexdigest()),
+    "feature": (StringType(), pa.string(), lambda png, back, px: dct_hash(px).hex()),
+    "dct_hash": (BinaryType(), pa.binary(), lambda png, back, px: dct_hash(px)),
 }
 
 
-def to_media(docs: DataFrame, text: str = "text", keep: list[str] | None = None, outputs: tuple[str, ...] = ("png", "dct_hash")) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with the ``outputs`` of its texts stored as PNG, read back and hashed. No shuffle."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in outputs]
-    wanted = [OUTPUTS[o] for o in outputs]
+def to_media(docs: DataFrame, text: str = "text", keep: list[str] | None = None, output: str = "png") -> DataFrame:
+    """``docs`` (or its columns ``keep``) with its texts as images in a binary column. No shuffle."""
+    source, keep, schema = beside(docs, text, keep, [StructField(output, BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for raw in blobs(b.column(b.num_columns - 1)):
-                png = encode_png(payload(raw))
-                px = decode_png(png)
-                back = px.tobytes()
-                rows.append([f(raw, png, back, px) for _, _, f in wanted])
-            made = [pa.array(x, kind) for x, (_, kind, _) in zip(zip(*rows, strict=True) if rows else [[]] * len(wanted), wanted, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *made], names=[*keep, *outputs])
-
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + [f"{o} {OUTPUTS[o][0]}" for o in outputs])
+            for part in parts(b):
+                made = pa.array([encode_png(payload(raw)) for raw in blobs(part.column(part.num_columns - 1))], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], made], names=[*keep, output])
+
     return arrow_map(source, run, schema)
 
 
-def features(media: DataFrame, png: str = "png", output: str = "dct_hash") -> DataFrame:
-    """``media`` with the hash of each image in its binary column ``png`` (null for null)."""
+def from_media(media: DataFrame, png: str = "png", keep: list[str] | None = None, outputs: tuple[str, ...] = ("dct_hash",)) -> DataFrame:
+    """``media`` (or its columns ``keep``) with the ``outputs`` of the images in its column ``png``, decoded; null for null."""
+    source, keep, schema = beside(media, png, keep, [StructField(o, OUTPUTS[o][0]) for o in outputs])
+    wanted = [OUTPUTS[o] for o in outputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [None if x is None else dct_hash(decode_png(x)) for x in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made, pa.binary())], names=[*b.schema.names[:-1], output])
+            for part in parts(b):
+                rows = []
+                for x in part.column(part.num_columns - 1).to_pylist():
+                    if x is None:
+                        rows.append([None] * len(wanted))
+                        continue
+                    px = decode_png(x)
+                    back = px.tobytes()
+                    rows.append([f(x, back, px) for _, _, f in wanted])
+                made = [pa.array(x, kind) for x, (_, kind, _) in zip(zip(*rows, strict=True) if rows else [[]] * len(wanted), wanted, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*keep, *outputs])
 
-    keep = [c for c in media.columns if c != output]
-    source = media.select(*[F.col(f"`{c}`") for c in keep], F.col(png).alias("__png"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + [f"{output} binary"])
     return arrow_map(source, run, schema)

@@ -10,15 +10,16 @@
    by a multivariate hypergeometric draw, each half again, down to single shards: every shard's counts are
    exact, add up to the quotas, and are distributed as if all draws had been shuffled and dealt. A shard then
    takes the next that many blocks of each source's random order: disjoint, and covering the quota.
-4. Within its shard a document's place is random (``shuffled``).
+4. Within its shard a document's place is random (``local_places`` tells it, ``shuffled`` brings rows into that order).
 
 Only counts per source and block come to the driver: at most ``max_blocks`` plus one per source; more than
 ``max_sources`` sources is an error rather than a silent cut. The plan (one row per source and block) is
 broadcast; documents are never shuffled. Everything follows from the seed and the data, so reruns agree.
 
 Defined results: a null source is a source, last in order; null and empty texts have no words, and a document
-without words is taken whenever its block is; a source without words has target 0; rows equal in id and text
-are taken together; an empty table gives an empty mix.
+without words is taken whenever its block is; a source without words has target 0; repeated rows are rows of their
+own, any of them standing for any other; a very long document is taken whole or not; an empty table gives an empty mix; ``mixed`` keeps all
+columns and finds other names for its own where they clash.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from subsieve.runtime import cut
@@ -94,8 +95,8 @@ def fill(sizes: list[int], room: float) -> list[bool]:
     return out
 
 
-def row_hash(key: str, text: str, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(key), F.col(text))
+def row_hash(key: str, source: str, text: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(key), F.col(source).cast("string"), F.col(text))
 
 
 def digit(h: Column, level: int, n: Column) -> Column:
@@ -129,9 +130,22 @@ class Plan:
         return out.withColumn("draws", F.concat(F.coalesce("draws", none), F.when(one.isNotNull(), F.array(one)).otherwise(none))).drop("block", "place", "blocks", *(["one"] + [f"cell{d}" for d in self.cells]))
 
 
-def slim_rows(docs: DataFrame, seed: int, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """(id, s, h, size) of all documents, as a table in the shared folder."""
-    return cut(docs.select(F.col(key).alias("id"), F.col(source).cast("string").alias("s"), row_hash(key, text, seed).alias("h"), n_words(text).alias("size")))
+def slim_rows(docs: DataFrame, seed: int, key: str = "doc_id", source: str = "source", text: str = "text", row: str | None = None) -> tuple[DataFrame, bool]:
+    """(n, id, s, h, size) of all documents, as a table in the shared folder, and whether rows are repeated.
+
+    ``n`` tells rows apart (``row`` if that does), and ``h`` is a hash of id, source and text. Rows equal in these have
+    hashes of their own by their number among their equals, which is counted in ranges of ``n``."""
+    own = F.col(row) if row else F.monotonically_increasing_id()
+    slim = cut(docs.select(own.alias("n"), F.col(key).alias("id"), F.col(source).cast("string").alias("s"), row_hash(key, source, text, seed).alias("h"), n_words(text).alias("size")))
+    repeated = cut(slim.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"))
+    if not repeated.limit(1).count():
+        return slim, False
+    equal = cut(slim.join(repeated, "h", "left_semi").select("n", "h", F.shiftright("n", 33).alias("range")))
+    counts = equal.groupBy("h", "range").agg(F.count("*").alias("held"))
+    begins = counts.select("h", "range", (F.sum("held").over(Window.partitionBy("h").orderBy("range")) - F.col("held")).alias("begin"))
+    nth = F.row_number().over(Window.partitionBy("h", "range").orderBy("n")) - 1
+    told = equal.withColumn("nth", nth).join(begins, ["h", "range"]).select("n", (F.col("begin") + F.col("nth")).alias("nth"))
+    return cut(slim.join(told, "n", "left").withColumn("h", F.when(F.col("nth") > 0, F.xxhash64("h", "nth")).otherwise(F.col("h"))).drop("nth")), True
 
 
 def make_plan(slim: DataFrame, weight: Callable[[int], float], shards: int, seed: int, most: int, max_blocks: int = 1 << 16, max_sources: int = 1_000_000) -> Plan:
@@ -157,7 +171,7 @@ def make_plan(slim: DataFrame, weight: Callable[[int], float], shards: int, seed
     rest = np.maximum(0.0, target - passes * words)
     rest[passes == most] = 0
     # level 0: blocks; then the block that the target falls in, in finer blocks
-    counted = at.withColumn("block", digit(F.col("h"), 0, F.col("blocks"))).groupBy("place", "block").agg(F.sum("size").alias("words"), F.countDistinct("h").alias("n"))
+    counted = at.withColumn("block", digit(F.col("h"), 0, F.col("blocks"))).groupBy("place", "block").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     cells = {i: [] for i in range(len(got))}
     for r in counted.collect():
         cells[r["place"]].append((r["block"], r["words"], r["n"]))
@@ -203,7 +217,8 @@ def make_plan(slim: DataFrame, weight: Callable[[int], float], shards: int, seed
         inside = _inside(at, open_)
         if flat:
             units: dict[int, list] = {i: [] for i in flat}
-            for r in inside.filter(F.col("place").isin([*flat])).groupBy("place", "h").agg(F.sum("size").alias("words")).collect():
+            ends = F.broadcast(spark.createDataFrame([(i,) for i in flat], "place int"))
+            for r in inside.join(ends, "place", "left_semi").groupBy("place", "h").agg(F.sum("size").alias("words")).collect():
                 units[r["place"]].append((r["h"], r["words"]))
             for i, found in units.items():
                 found.sort()
@@ -213,7 +228,7 @@ def make_plan(slim: DataFrame, weight: Callable[[int], float], shards: int, seed
             cells = {i: [] for i in deeper}
             fan = F.broadcast(spark.createDataFrame([*deeper.items()], "place int, parts int"))
             sub = inside.join(fan, "place").withColumn("cell", digit(F.col("h"), depth, F.col("parts")))
-            for r in sub.groupBy("place", "cell").agg(F.sum("size").alias("words"), F.countDistinct("h").alias("n")).collect():
+            for r in sub.groupBy("place", "cell").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect():
                 cells[r["place"]].append((r["cell"], r["words"], r["n"]))
             for i, mine in cells.items():
                 b, fan_, path, left, before = open_[i]
@@ -237,11 +252,37 @@ def make_plan(slim: DataFrame, weight: Callable[[int], float], shards: int, seed
 
 
 def mix(docs: DataFrame, weight: Callable[[int], float], shards: int = 24, seed: int = 20, most: int = 3, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """(id, s, h, size, source_size, target, draws) of each document: its source and words, and the shards that take it."""
-    slim = slim_rows(docs, seed, key, source, text)
+    """(n, id, s, h, size, source_size, target, draws) of each document: its source and words, and the shards that take it."""
+    slim, _ = slim_rows(docs, seed, key, source, text)
     return make_plan(slim, weight, shards, seed, most).draws(slim)
 
 
+#: Copies that one window of the local shuffle holds on average, at most.
+WINDOW = 50_000
+
+
+def local_places(rows: DataFrame, shards: int, seed: int = 20) -> DataFrame:
+    """``rows`` of ``mix`` with ``places``: where each copy stands in its shard after the shard's own shuffle.
+
+    Copies go by a random number; a shard's numbers are cut into equal ranges, each shuffled and numbered in a window of
+    its own that starts where the ranges before it end."""
+    rows = cut(rows)
+    parts = max(1, -(-(rows.agg(F.sum(F.size("draws"))).first()[0] or 0) // (shards * WINDOW)))
+    copies = rows.select("n", "h", F.posexplode("draws").alias("copy", "shard")).withColumn("at", order_in_shard(seed))
+    copies = copies.withColumn("part", F.least((F.col("at") / float(1 << 63) * parts).cast("int"), F.lit(parts - 1)))
+    counts = copies.groupBy("shard", "part").agg(F.count("*").alias("held"))
+    begins = counts.select("shard", "part", (F.sum("held").over(Window.partitionBy("shard").orderBy("part")) - F.col("held")).alias("begin"))
+    place = F.row_number().over(Window.partitionBy("shard", "part").orderBy("at", "n")) - 1
+    placed = copies.withColumn("place", place).join(begins, ["shard", "part"]).withColumn("place", F.col("begin") + F.col("place"))
+    taken = placed.groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("copy", "place"))), lambda x: x["place"]).alias("places"))
+    return rows.join(taken, "n", "left").withColumn("places", F.coalesce("places", F.array().cast("array<bigint>")))
+
+
+def order_in_shard(seed: int) -> Column:
+    """The random number that a shard's copies (h, copy) are ordered by."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "h", "copy"), 1)
+
+
 def _path() -> Column:
     """A row's cell at each level of ``fan``."""
     return F.transform("fan", lambda n, i: F.pmod(F.xxhash64(F.col("h"), (i + 1).cast("int")), n.cast("bigint")))
@@ -256,11 +297,18 @@ def _inside(at: DataFrame, cells: dict[int, tuple]) -> DataFrame:
 
 def mixed(docs: DataFrame, weight: Callable[[int], float], shards: int = 24, seed: int = 20, most: int = 3, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The documents of the mix, one row per copy, with the column ``shard`` (and ``place``, a random number to order a shard by)."""
-    plan = make_plan(slim_rows(docs, seed, key, source, text), weight, shards, seed, most)
-    shard, place = fresh(docs, "shard", "place")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source).cast("string").alias("s"), row_hash(key, text, seed).alias("h"))
+    slim, repeated = slim_rows(docs, seed, key, source, text)
+    shard, place, n = fresh(docs, "shard", "place", "n")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    if repeated:  # only a written number tells equal rows apart
+        held = cut(docs.withColumn(n, F.monotonically_increasing_id()))
+        slim, _ = slim_rows(held, seed, key, source, text, row=n)
+        rows = held.select(row, F.col(n).alias("n")).join(slim.select("n", "s", "h"), "n")
+    else:
+        rows = docs.select(row, F.col(source).cast("string").alias("s"), row_hash(key, source, text, seed).alias("h"))
+    plan = make_plan(slim, weight, shards, seed, most)
     out = plan.draws(rows).select("row", "h", F.posexplode("draws").alias("copy", "shard"))
-    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("shard").alias(shard), F.xxhash64(F.lit(seed), "h", "copy").alias(place))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("shard").alias(shard), order_in_shard(seed).alias(place))
 
 
 def shuffled(mixture: DataFrame, shard: str = "shard", place: str = "place") -> DataFrame:

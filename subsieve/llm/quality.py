@@ -8,7 +8,8 @@ probabilities through a sigmoid fitted on a fifth of the sample that the descent
 The fit reads at most ``max_rows`` labelled rows (documented bound); scoring is one pass without a shuffle.
 Defined results: null and empty texts have no features and get the score of the offset alone; without
 examples of both classes every score is the smoothed share of the class; labels, ids and other columns
-are never inputs of a score.
+are never inputs of a score; a text is read whole however long it is; repeated rows are scored alike and count as one example; empty tables
+are scored as empty tables; a column of the output's name is replaced and all other columns stay, whatever their names.
 """
 
 from __future__ import annotations

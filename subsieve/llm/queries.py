@@ -16,16 +16,18 @@ from .common import n_bytes, read
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.mix(read(spark, sf_dir, "documents"), mixing.cyclic((5, 2, 1)))
+    shards = 24
+    rows = mixing.local_places(mixing.mix(read(spark, sf_dir, "documents"), mixing.cyclic((5, 2, 1)), shards), shards)
     taken = F.col("size") * F.size("draws")
-    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken.cast("bigint").alias("taken"), F.array_join(F.transform("draws", lambda x: x.cast("string")), ",").alias("shards"))
+    listed = [F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(n) for c, n in (("draws", "shards"), ("places", "places"))]
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken.cast("bigint").alias("taken"), *listed)
 
 
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = 24
     docs = read(spark, sf_dir, "documents")
     size = n_bytes("text") + 8
-    dims = [sharding.code(F.col("lang")), sharding.number(F.col("n_chars")), sharding.number(size), sharding.hashed(F.col("text"))]
+    dims = [sharding.code(F.col("lang")), sharding.number(F.col("n_chars")), sharding.number(size)]
     crc = F.coalesce(F.crc32(F.col("text")), F.lit(0)).alias("text_crc32")
     rows = cut(sharding.prepared(docs.select("doc_id", crc, "lang", "n_chars", "text"), dims, size, sharding.hashed(F.col("text")), sharding.hashed(F.col("doc_id"))).drop("lang", "n_chars", "text"))
     tree = sharding.grow(rows, len(dims), n)
@@ -79,8 +81,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outputs = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-    return media.to_media(read(spark, sf_dir, "documents"), keep=["doc_id"], outputs=outputs)
+    docs = read(spark, sf_dir, "documents").select("doc_id", n_bytes("text").alias("n_bytes"), "text")
+    stored = cut(media.to_media(docs, keep=["doc_id", "n_bytes"]))
+    outputs = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return media.from_media(stored, keep=["doc_id", "n_bytes"], outputs=outputs)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

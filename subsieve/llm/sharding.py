@@ -14,8 +14,10 @@ near equal shards could hold it.
 The driver holds a few numbers per shard. A row's shard is a function of the row and the tree, applied by
 broadcast joins with the tree's levels (one row per node), without a shuffle.
 
-Defined results: null dimensions sort below all others; an empty table has an empty tree; more shards than
-distinct rows leave shards empty.
+Defined results: null dimensions sort below all others, null and empty texts have no bytes; repeated rows are of one
+group; a very long text is one row, so its shard may exceed the others by it; an empty table has an empty tree; more
+shards than distinct rows leave shards empty; a column of the output's name is replaced and all others stay,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from subsieve.runtime import cut
+
 from .common import fresh
 
 BINS = 2048
@@ -69,8 +73,8 @@ class _Cell:
 
 
 def _walk(rows: DataFrame, levels: list[list[tuple]], dims: int) -> DataFrame:
-    """``rows`` (v array, g, t) with the column node after the given levels."""
-    out = rows.withColumn("node", F.lit(1).cast("bigint"))
+    """``rows`` (v array, g, t, node: 1) with the column node after the given levels."""
+    out = rows
     for level in levels:
         cuts = F.broadcast(rows.sparkSession.createDataFrame(level, "node bigint, d int, cv bigint, cg bigint, ct bigint"))
         v = F.col("v")[F.col("d")]
@@ -150,33 +154,33 @@ def assign(rows: DataFrame, tree: Tree, dims: int) -> DataFrame:
 
 
 def prepared(docs: DataFrame, dims: list[Column], size: Column, group: Column, tie: Column) -> DataFrame:
-    """``docs`` with the columns v, g, t and size that the tree reads (other columns must not have these names)."""
-    return docs.withColumns({"v": F.array(*dims), "g": group, "t": tie, "size": size.cast("bigint")})
+    """``docs`` with the columns v, g, t, size and node that the tree reads (other columns must not have these names)."""
+    return docs.withColumns({"v": F.array(*dims), "g": group, "t": tie, "size": size.cast("bigint"), "node": F.lit(1).cast("bigint")})
 
 
-def numbered(rows: DataFrame, n_rows: int, n_shards: int, shard: str = "shard", tie: str = "t", order: tuple[str, ...] = ()) -> DataFrame:
-    """``rows`` with a gapless slot in each shard. A shard's rows are numbered in as many windows as their count asks
+def numbered(rows: DataFrame, n_rows: int, n_shards: int, shard: str = "shard", tie: str = "t", order: tuple[str, ...] = (), output: str = "slot") -> DataFrame:
+    """``rows`` with a gapless place in each shard. A shard's rows are numbered in as many windows as their count asks
     for, dealt by the hash ``tie``, and each window starts where the windows before it end."""
     parts = max(1, -(-n_rows // (n_shards * SLOT_ROWS)))
-    bucket, count, before = fresh(rows, "bucket", "count", "before")
+    bucket, count, before, within = fresh(rows, "bucket", "count", "before", "within")
     dealt = rows.withColumn(bucket, F.pmod(F.col(tie), F.lit(parts)).cast("int"))
     counts = dealt.groupBy(shard, bucket).agg(F.count("*").alias(count))
     starts = counts.select(shard, bucket, (F.sum(count).over(Window.partitionBy(shard).orderBy(bucket)) - F.col(count)).alias(before))
     place = F.row_number().over(Window.partitionBy(shard, bucket).orderBy(tie, *order)) - 1
-    return dealt.withColumn("slot", place).join(starts, [shard, bucket]).withColumn("slot", (F.col("slot") + F.col(before)).cast("bigint")).drop(bucket, before)
+    kept = [F.col(f"`{c}`") for c in rows.columns if c != output]
+    return dealt.withColumn(within, place).join(starts, [shard, bucket]).select(*kept, (F.col(within) + F.col(before)).cast("bigint").alias(output))
 
 
 def shard_documents(docs: DataFrame, target_bytes: int | None = None, n_shards: int | None = None, dims: dict[str, str] | None = None, key: str = "doc_id", text: str = "text", output: str = "shard") -> DataFrame:
     """``docs`` with their shard, by ``n_shards`` or by as many as ``target_bytes`` asks for. ``dims`` maps columns to
-    "code" (strings) or "number"; the text's bytes and hash are always dimensions."""
-    names = fresh(docs, "v", "g", "t", "size", "node", "shard")
+    "code" (strings) or "number"; the text's bytes are always a dimension."""
     size = F.coalesce(F.octet_length(text), F.lit(0)) + 8
-    own = [{"code": code, "number": number}[kind](F.col(c)) for c, kind in (dims or {}).items()]
-    point = [*own, number(size), hashed(F.col(text))]
+    point = [*({"code": code, "number": number}[kind](F.col(c)) for c, kind in (dims or {}).items()), number(size)]
     if n_shards is None:
         n_shards = max(1, -(-(docs.agg(F.sum(size)).first()[0] or 0) // (target_bytes or 1 << 30)))
-    slim = docs.select(F.array(*point).alias("v"), hashed(F.col(text)).alias("g"), hashed(F.col(key)).alias("t"), size.cast("bigint").alias("size"))
-    tree = grow(slim, len(point), n_shards)
-    helpers = dict(zip(names, (F.array(*point), hashed(F.col(text)), hashed(F.col(key))), strict=False))
-    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *(c.alias(n) for n, c in zip(("v", "g", "t"), helpers.values(), strict=True)))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # so that its columns' names can't clash
+    read = {"v": F.array(*point), "g": hashed(F.col(text)), "t": hashed(F.col(key)), "size": size.cast("bigint"), "node": F.lit(1).cast("bigint")}
+    columns = [c.alias(n) for n, c in read.items()]
+    tree = grow(cut(docs.select(*columns)), len(point), n_shards)
+    wide = docs.select(row, *columns)
     return assign(wide, tree, len(point)).select(*[F.col("row")[c].alias(c) for c in docs.columns if c != output], F.col("shard").alias(output))

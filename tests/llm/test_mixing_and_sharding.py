@@ -53,13 +53,71 @@ def test_mix(spark, monkeypatch, block, cell):
     assert mixing.shuffled(out).count() == out.count()
 
 
+@pytest.mark.parametrize("window", [50_000, 20])
+def test_op1_by_brute_force(spark, tmp_path, table, monkeypatch, window):
+    """Targets by sharing out step by step, words taken near them, and each shard a gapless shuffle of its copies."""
+    monkeypatch.setattr(mixing, "WINDOW", window)
+    rng = np.random.default_rng(4)
+    rows = [(i, "w " * int(rng.integers(0, 50)), f"s{i % 5}" if i % 40 else None) for i in range(600)] + [(None, "w w", "s1"), (None, None, "s1")] + [(7000, "one text many times", "s2")] * 300
+    got = queries.op1_mix(spark, table(tmp_path / "t", rows)).toPandas()
+    assert len(got) == len(rows)
+    size = lambda t: len((t or "").split())
+    names = sorted({s for *_, s in rows if s is not None}) + [None]
+    words = {s: sum(size(t) for _, t, x in rows if x == s) for s in names}
+    target, left, free = dict.fromkeys(names, 0.0), float(sum(words.values())), list(names)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    while left > 1e-9 and free:  # pour a little at a time; what is full stays out
+        step = min((3 * words[s] - target[s]) / weight[s] for s in free)
+        step = min(step, left / sum(weight[s] for s in free))
+        for s in free:
+            target[s] += step * weight[s]
+            left -= step * weight[s]
+        free = [s for s in free if target[s] < 3 * words[s] - 1e-9]
+    by = {w: t for w, t in zip(got.source_size, got.target, strict=True)}
+    assert by == pytest.approx({words[s]: target[s] for s in names})
+    assert (got.taken <= 3 * got["size"]).all()
+    for w, g in got.groupby("source_size"):
+        assert g.taken.sum() == pytest.approx(by[w], rel=0.03, abs=60)
+    shards = {}
+    for a, b, taken, n in zip(got.shards, got.places, got.taken, got["size"], strict=True):
+        at = a.split(",") if a else []
+        assert len(at) * n == taken
+        for x, y in zip(at, b.split(",") if b else [], strict=True):
+            shards.setdefault(x, []).append(int(y))
+    assert {*map(int, shards)} <= {*range(24)} and all(sorted(v) == [*range(len(v))] for v in shards.values())
+
+
+def test_many_equal_rows_meet_their_target(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CELL", 3)
+    docs = spark.createDataFrame([(1, "a b c", "s0")] * 500 + [(2, "d e", "s0")] * 400 + [(i, "x " * 9, "s1") for i in range(3, 200)], "doc_id bigint, text string, source string")
+    got = mixing.mix(docs, mixing.cyclic((5, 2, 1)), shards=3).toPandas()
+    got["taken"] = got["size"] * got["draws"].map(len)
+    for _, g in got.groupby("s"):
+        assert g.taken.sum() == pytest.approx(g.target.iloc[0], abs=9)
+    out = mixing.mixed(docs.withColumn("n", F.lit("x")), mixing.cyclic((5, 2, 1)), shards=3)
+    assert out.count() == got["draws"].map(len).sum() and out.columns == ["doc_id", "text", "source", "n", "shard", "place"]
+
+
+def test_op2_by_brute_force(spark, tmp_path, table):
+    rng = np.random.default_rng(8)
+    rows = [(i, f"text {i} " + "é" * int(rng.integers(0, 400)), "s") for i in range(900)] + [(2000 + i, f"twins {i // 3}" * 30, "s") for i in range(90)] + [(None, None, None), (None, None, None), (4000, "", "s"), (4001, "long " * 3000, "s")]
+    got = shards(spark, rows, tmp_path, table)
+    want = sorted((-1 if i is None else i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, _ in rows)
+    assert sorted((-1 if i != i else int(i), n, c) for i, n, c in zip(got.doc_id, got["size"], got.text_crc32, strict=True)) == want
+    by = got.groupby("shard")["size"].sum()
+    assert [*by.index] == [*range(24)] and by.max() - by.mean() <= 15_008 and got.grown_shard.isna().all()
+    assert got[got["size"] < 15_000].groupby("shard")["size"].sum().max() <= 1.08 * by.mean()
+    assert all(sorted(g.slot) == [*range(len(g))] for _, g in got.groupby("shard"))
+    assert got[got["size"] > 8].groupby("text_crc32").shard.nunique().max() == 1
+
+
 def test_mix_on_odd_tables(odd, none):
     assert mixing.mix(odd, mixing.cyclic((1,))).count() == odd.count()
     out = mixing.mixed(odd, mixing.cyclic((1,)))
     assert out.columns == [*odd.columns, "_shard", "place"]
     assert mixing.mix(none, mixing.cyclic((1,))).count() == 0 and mixing.mixed(none, mixing.cyclic((1,))).count() == 0
     with pytest.raises(ValueError):
-        mixing.make_plan(mixing.slim_rows(odd, 1), mixing.cyclic((1,)), 2, 1, 3, max_sources=1)
+        mixing.make_plan(mixing.slim_rows(odd, 1)[0], mixing.cyclic((1,)), 2, 1, 3, max_sources=1)
 
 
 def shards(spark, rows, tmp_path, table):

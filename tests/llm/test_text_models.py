@@ -80,6 +80,66 @@ def test_the_sample_is_bounded(spark):
     labels = docs.select("doc_id", F.lit(1).alias("quality"))
     got = linear.labelled_sample(docs, labels, "quality", max_rows=100)
     assert 80 <= got.count() <= 100
+    repeated = docs.filter("doc_id < 20").join(spark.range(50))  # each id many times, with one text
+    assert linear.labelled_sample(repeated, labels, "quality", max_rows=10).count() <= 10
+
+
+def plain_quality(model, text):
+    """A score by the definition, from the model's codes and weights."""
+    words = text.split()
+    shapes = [int(quality.REPEAT) if k and words[k] == words[k - 1] else quality.shape_code(w) for k, w in enumerate(words)]
+    p1, p2, p3, m = int(quality.P1), int(quality.P2), int(quality.P3), 2**64 - 1
+    found = {quality.word_code(w) for w in words} | {*shapes}
+    found |= {((a * p1 + b * p2) & m) ^ (a >> 31) for a, b in zip(shapes, shapes[1:])}
+    found |= {((a * p1 + b * p2 + c * p3) & m) ^ (b >> 29) for a, b, c in zip(shapes, shapes[1:], shapes[2:])}
+    weight = dict(zip(model.codes.tolist(), model.weights.tolist(), strict=True))
+    return 1 / (1 + math.exp(-(model.slope * (model.offset + sum(weight.get(c, 0.0) for c in found)) + model.shift)))
+
+
+def plain_toxicity(model, text):
+    times = collections.Counter(c for w in {toxicity.STRIPPED[w] for w in text.split()} for c in toxicity.word_codes(w))
+    found = {*times} | {(c + k * 0x9E3779B97F4A7C15) % 2**64 for c, n in times.items() for k in (2, 3, 5) if n >= k}
+    weight = dict(zip(model.codes.tolist(), model.weights.tolist(), strict=True))
+    return 1 / (1 + math.exp(-(model.offset + sum(weight.get(c, 0.0) for c in found))))
+
+
+def test_scores_by_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice([w, w, w.upper() + "!!", w.title(), "12", w + "."]) for w in prose(rng, rng.randrange(0, 40)).split())) for i in range(200)] + [(900, None), (901, "a a a a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int("!!" in (t or "")), int(len(t or "") % 3 == 0)) for i, t in rows], "doc_id bigint, quality int, toxic int")
+    for module, label, plain in ((quality, "quality", plain_quality), (toxicity, "toxic", plain_toxicity)):
+        model = module.fit(docs, labels, label)
+        got = {r.doc_id: r.score for r in module.score(docs, model).collect()}
+        assert len(model.codes) and got == pytest.approx({i: plain(model, t or "") for i, t in rows})
+
+
+def test_descent_solves_its_problem():
+    """The dual solution leaves no gap to the primal one: hinge loss + |w|^2 / 2 over scaled indicators and a constant."""
+    rng = np.random.default_rng(3)
+    lists = [sorted(rng.choice(12, rng.integers(1, 6), replace=False).tolist()) for _ in range(60)]
+    y, scale = np.where([0 in x or 5 in x for x in lists], 1.0, -1.0), rng.normal(0, 1, 12)
+    w, b = quality.dual_descent(linear.Rows(lists, 12), scale, y, epochs=3000, tolerance=1e-9)
+    x = np.array([[scale[k] * (k in row) for k in range(12)] for row in lists])
+    loss = lambda w, b: (w @ w + b * b) / 2 + np.maximum(0, 1 - y * (x @ w + b)).sum()
+    best = loss(w, b)
+    for _ in range(2000):
+        assert best <= loss(w + rng.normal(0, 0.02, 12), b + rng.normal(0, 0.02)) + 1e-6
+
+
+def test_penalised_fit_is_a_minimum():
+    rng = np.random.default_rng(6)
+    lists = [sorted(rng.choice(10, 4, replace=False).tolist()) for _ in range(50)]
+    other = [[(k + 1) % 10 for k in x] for x in lists[:20]]
+    y, rows, swapped, origin = (rng.random(50) < 0.4).astype(float), linear.Rows(lists, 10), linear.Rows(other, 10), np.arange(20)
+    w, b = toxicity.train(rows, y, swapped, origin, fairness=2.0, steps=4000)
+
+    def loss(w, b):
+        f = rows.dot(w) + b
+        return (np.log1p(np.exp(f)) - y * f).sum() + 0.25 * w @ w + 2.0 * ((rows.dot(w)[origin] - swapped.dot(w)) ** 2).sum()
+
+    best = loss(w, b)
+    assert all(best <= loss(w + rng.normal(0, 0.02, 10), b + rng.normal(0, 0.02)) + 1e-3 for _ in range(500))
 
 
 def longest_chain(pairs):
@@ -292,3 +352,38 @@ def test_language_model_on_odd_tables(odd, none):
     counts, vocab, scorer = lm.fit(none)
     r = lm.score(odd.filter("doc_id = 4"), counts, vocab, scorer, keep=["doc_id"]).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0)
+
+
+def test_op7_score_by_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, rng.randrange(0, 30)).title() if i % 3 else prose(rng, 5) + f" rare{i}") for i in range(60)] + [(70, None), (71, "unseen words")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    train = docs.filter("doc_id < 50")
+    counts, vocab, scorer = lm.fit(train)
+    got = {r.doc_id: r.score for r in lm.score(docs, counts, vocab, scorer).collect()}
+    count = {bytes(r.word): r.c for r in counts.collect()}
+    heads, p, n = vocab.heads(), scorer.p, lm.HEADS + lm.TAILS
+    members = {k: [w for w in count if w not in heads and lm.tail_class(w) == k] for k in range(lm.HEADS, n)}
+    class_of = lambda w: heads[w] if w in heads else lm.tail_class(w)
+
+    def log10(text):
+        out, before = 0.0, [n, n]
+        for w in [*(text or "").encode().lower().split(), lm.END]:
+            c = class_of(w)
+            h = p.context[before[0]].astype(float) @ p.turn[0] + p.context[before[1]].astype(float) @ p.turn[1]
+            logits = p.output.astype(float) @ h + p.bias
+            out += (logits[c] - np.log(np.exp(logits).sum())) / math.log(10)
+            if w not in heads:
+                out += math.log10((count.get(w, 0) + 1) / (sum(count[x] for x in members[c]) + len(members[c]) + 1))
+            before = [before[1], c]
+        return out
+
+    assert got == pytest.approx({i: log10(t) for i, t in rows}, rel=1e-3, abs=1e-3)
+
+
+@pytest.mark.parametrize("together", [64, 2])
+def test_parameters_are_averaged(spark, monkeypatch, together):
+    monkeypatch.setattr(lm, "TOGETHER", together)
+    rows = spark.createDataFrame([(bytearray(np.array([k, 2.0 * k], "<f8").tobytes()), k) for k in range(1, 8)], lm.SUMS)
+    total, tokens = lm.added(rows)
+    assert total.tolist() == [28.0, 56.0] and tokens == 28 and lm.added(rows.limit(0))[1] == 0

@@ -12,7 +12,7 @@ from conftest import TEXTS
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from subsieve.llm import bytebpe, media, tokenfile
+from subsieve.llm import bytebpe, lm, media, mixing, neardup, quality, queries, sharding, tokenfile, toxicity
 
 ALPHABET = ["a", "B", " ", "  ", "\n", "\r\n", "\t", "'s", "'ll", "é", "É", "é", "1", "!", "..", " ", "　", "的", "😀", "\x1c", "\x85", "​", "don't", "İ", "ß", "²", "€,", "\x0b", "ﬁ", "Σ", "<|endoftext|>"]
 
@@ -22,6 +22,12 @@ def random_texts(n, seed):
     return ["".join(rng.choice(ALPHABET) for _ in range(rng.randrange(16))) for _ in range(n)]
 
 
+@pytest.fixture(scope="module")
+def definition():
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        return f.read()
+
+
 @pytest.fixture(scope="module")
 def coder():
     return bytebpe.ByteBPE.from_file(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -64,10 +70,66 @@ def test_png_round_trip(odd, none):
         samples = media.payload(raw)
         assert len(samples) % 192 == 0 and samples and samples.rstrip(b" ").startswith(raw.rstrip(b" "))
         assert media.decode_png(media.encode_png(samples)).tobytes() == samples
-    made = media.to_media(odd, keep=["doc_id", "text"], outputs=("png", "dct_hash", "feature", "media_bytes")).collect()
+    stored = media.to_media(odd)
+    assert stored.columns == [*odd.columns, "png"] and stored.count() == odd.count()
+    made = media.from_media(stored, keep=["doc_id", "text", "png"], outputs=("payload", "dct_hash", "feature", "media_bytes")).collect()
     assert all(len(r.dct_hash) == 8 and r.feature == bytes(r.dct_hash).hex() and r.media_bytes == len(r.png) for r in made)
-    assert media.features(media.to_media(odd, keep=["doc_id"], outputs=("png",)), output="h").count() == odd.count()
-    assert media.to_media(none).count() == 0
+    assert all(bytes(r.payload) == media.payload((r.text or "").encode()) for r in made)
+    assert media.from_media(stored.withColumn("png", F.lit(None).cast("binary")), outputs=("feature",)).filter("feature is null").count() == odd.count()
+    assert media.to_media(none).count() == 0 and media.from_media(media.to_media(none)).count() == 0
+
+
+def plain_feature(samples):
+    """The hash by the definition: 32 x 32 averages of the brightness, the lowest cosine frequencies, their median."""
+    grey = np.frombuffer(samples, np.uint8).reshape(-1, 64, 3).astype(float).sum(2)
+    bands = lambda n: [(k * n // 32, max(k * n // 32 + 1, -(-(k + 1) * n // 32))) for k in range(32)]
+    small = np.array([[grey[a:z, x:y].mean() for x, y in bands(64)] for a, z in bands(len(grey))])
+    low = np.array([[(small * np.outer(np.cos(np.pi * (2 * np.arange(32) + 1) * u / 64), np.cos(np.pi * (2 * np.arange(32) + 1) * v / 64))).sum() for v in range(8)] for u in range(8)]).round(6).ravel()
+    low[0] = 0
+    return np.packbits(low > np.median(low)).tobytes().hex()
+
+
+def test_op10_by_brute_force(spark, tmp_path, table):
+    rows = [(i, t, "s") for i, t in enumerate([*TEXTS, *random_texts(40, 9), "x" * 192, "y" * 193, "tail" * 47 + "   "])]
+    got = queries.op10_media(spark, table(tmp_path / "t", rows)).toPandas().set_index("doc_id")
+    for i, t, _ in rows:
+        raw = (t or "").encode()
+        padded = raw + b" " * (-len(raw) % 192 if raw else 192)
+        r = got.loc[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
+        png = media.encode_png(padded)
+        assert (r.media_bytes, r.media_sha256) == (len(png), hashlib.sha256(png).hexdigest())
+        assert r.feature == plain_feature(padded)
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Documents with columns of the names that operators use inside."""
+    names = "__text __row __k __word __n text2 k0 k1 y h s v g t node row md5 bucket count before draws block place path fan shard slot size id key ids part seq at".split()
+    rows = [(i, None if i == 3 else f"some words number {i % 9} and more of them here", "en", f"s{i % 3}", *(f"{n}{i}" for n in names)) for i in range(30)]
+    return spark.createDataFrame(rows, ", ".join(["doc_id bigint", "text string", "lang string", "source string", *(f"`{n}` string" for n in names)]))
+
+
+def test_columns_of_any_name_stay(spark, clashing, coder, definition):
+    labels = spark.createDataFrame([(i, int(i % 2), int(i % 3 == 0)) for i in range(30)], "doc_id bigint, quality int, toxic int")
+    want = {r.doc_id: r for r in clashing.collect()}
+    made = {
+        "bytebpe": bytebpe.encode(clashing, coder, outputs=("n_tokens", "ids_sha256")),
+        "media": media.from_media(media.to_media(clashing), keep=clashing.columns),
+        "quality": quality.score(clashing, quality.fit(clashing, labels, "quality")),
+        "toxicity": toxicity.score(clashing, toxicity.fit(clashing, labels, "toxic")),
+        "lm": lm.score(clashing, *lm.fit(clashing)),
+        "mixing": mixing.mixed(clashing, mixing.cyclic((1,)), shards=2),
+        "sharding": sharding.shard_documents(clashing, n_shards=3, dims={"lang": "code"}, output="own"),
+        "neardup": neardup.deduplicate(clashing),
+    }
+    for name, out in made.items():
+        rows = out.collect()
+        assert len({*out.columns}) == len(out.columns) and rows, name
+        assert all(r[c] == want[r.doc_id][c] for r in rows for c in clashing.columns), name
+    assert tokenfile.read_shards(tokenfile.write_shards(clashing, definition, 16, 1)).count() == 30
+    again = lm.score(clashing.withColumn("N_tokens", F.lit("x")), *lm.fit(clashing))
+    assert [c.lower() for c in again.columns].count("n_tokens") == 1 and dict(again.dtypes)["n_tokens"] == "bigint"
 
 
 def test_all_filters():
@@ -115,12 +177,6 @@ def test_wavelet_matrix():
         tokenfile.load(bytes(file))
 
 
-@pytest.fixture(scope="module")
-def definition():
-    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
-        return f.read()
-
-
 def test_word_encoder_is_the_librarys(definition, monkeypatch):
     coder, known = tokenfile.WordEncoder(definition), Tokenizer.from_str(definition)
     given = [*random_texts(3000, 4), *(t or "" for t in TEXTS), "<|ENDOFTEXT|> x<|startoftext|>y <|x|>", "a\x00b", "É́ é ́x", "÷ × Ã— a÷b c×d ÞþÿÖ ÆØß Ÿ", "'", " ' < <b> x<", "a1b22c..d!!É9é"]
