@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that it is given and decides by them alone; labels
 are those of the rows that are still there. All but the last return the columns of ``documents``.
+
+Defined results, of all stages: an empty table gives an empty table; columns beside those of ``documents`` stay,
+whatever their names, up to the last stage, which returns its own; texts are read whole however long they are; a
+null text counts as empty, but in the near-dedup stage as a text of its own kind; repeated rows and ties are kept or
+go together, but for that stage, which keeps one, and the mix, which draws each row by itself. Rows without an id
+are no examples for the classifiers, which score them like all others.
 """
 
 from __future__ import annotations
@@ -24,30 +30,31 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def by_score(docs: DataFrame, scored: DataFrame, passes) -> DataFrame:
-    return scored.filter(passes).select(*docs.columns)
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality.fit(docs, labels(spark, sf_dir), "quality")
-    return by_score(docs, quality.score(docs, model, output="__score"), F.col("__score") >= LEAST_QUALITY)
+    """Documents whose quality is scored at ``LEAST_QUALITY`` or more; without labels of both kinds all have one score."""
+    model, (score,) = quality.fit(docs, labels(spark, sf_dir), "quality"), fresh(docs, "score")
+    return quality.score(docs, model, output=score).filter(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(docs, labels(spark, sf_dir), "toxic")
-    return by_score(docs, toxicity.score(docs, model, output="__score"), F.col("__score") < MOST_TOXICITY)
+    """Documents whose toxicity is scored below ``MOST_TOXICITY``; without labels of both kinds all have one score."""
+    model, (score,) = toxicity.fit(docs, labels(spark, sf_dir), "toxic"), fresh(docs, "score")
+    return toxicity.score(docs, model, output=score).filter(F.col(score) < MOST_TOXICITY).drop(score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the least id; null ids rank last."""
     return neardup.deduplicate(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, once per copy, each shard's together and shuffled; a null source is the last one."""
     shard, place = fresh(docs, "shard", "place")
-    return mixing.shuffled(mixing.mixed(docs, mixing.cyclic(WEIGHTS), SHARDS), shard, place).select(*docs.columns)
+    return mixing.shuffled(mixing.mixed(docs, mixing.cyclic(WEIGHTS), SHARDS), shard, place).drop(shard, place)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document and the bytes that they decode to, as counts and digests."""
     coder = bytebpe.ByteBPE.from_file(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return bytebpe.encode(docs, coder, keep=["doc_id"], outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -60,7 +67,7 @@ STAGES = [
     ("byte-level bpe", byte_bpe),
 ]
 
-#: The classifiers and the random draw are beyond SQL; the tests hold run() against a brute-force version.
+#: The classifiers and the random draw are beyond SQL; tests/llm/test_pipeline.py holds run() against plain Python.
 ORACLE_SQL = None
 
 
