@@ -312,5 +312,6 @@ def mixed(docs: DataFrame, weight: Callable[[int], float], shards: int = 24, see
 
 
 def shuffled(mixture: DataFrame, shard: str = "shard", place: str = "place") -> DataFrame:
-    """A mixture with each shard's rows together and in random order, ready to be written partitioned by shard."""
-    return mixture.repartition(shard).sortWithinPartitions(shard, place)
+    """A mixture by shard, each shard's rows in random order: ranges of (shard, place), so that a large shard is
+    several tasks' and a small one a part of a task's."""
+    return mixture.repartitionByRange(shard, place).sortWithinPartitions(shard, place)

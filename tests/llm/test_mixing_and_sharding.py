@@ -186,5 +186,5 @@ def test_the_pipeline_shuffles_its_mix_by_shard(spark):
     once = {doc: next(iter(s)) for doc, s in shards.items() if len(s) == 1}
     parts = corpus_pipeline.mix_sources(spark, docs, "").select("doc_id").rdd.glom().collect()
     got = [[(once[r.doc_id], at[r.doc_id, once[r.doc_id]]) for r in p if r.doc_id in once] for p in parts]
-    assert all(p == sorted(p) for p in got) and sum(map(len, got)) >= len(once) > 0
-    assert all(len({k for k, p in enumerate(got) if any(s == x for x, _ in p)}) == 1 for s in set(once.values()))
+    flat = [x for p in got for x in p]  # a shard may lie in several partitions, one after the other
+    assert flat == sorted(flat) and len(flat) >= len(once) > 0
