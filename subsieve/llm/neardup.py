@@ -68,7 +68,7 @@ def scramble(h: np.ndarray) -> np.ndarray:
 
 
 SEEDS = scramble(np.arange(1, HASHES + SHORT_HASHES + 1, dtype=np.uint64) * ODD)
-_words = Cache(xxhash.xxh3_64_intdigest)
+_words = Cache(xxhash.xxh3_64_intdigest, 120_000)
 
 
 def shingles(raw: bytes) -> np.ndarray:

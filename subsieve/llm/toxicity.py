@@ -41,7 +41,7 @@ WORDS = re.compile(r"[^\W\d_]+").findall
 STRIP = " \t\r\n.,;:!?\"'()[]{}<>*#%&$|-_/\\~`+=^@"
 
 
-STRIPPED = linear.Cache(lambda w: w.strip(STRIP).lower())
+STRIPPED = linear.Cache(lambda w: w.strip(STRIP).lower(), 120_000)
 
 
 def swap(text: str, turn: int) -> str | None:
