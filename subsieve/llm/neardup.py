@@ -56,6 +56,8 @@ SMALL = 8
 #: Up to so many texts that take part in a pair are found in the documents by a broadcast of their keys (16 bytes
 #: each), beyond it by a shuffled semi join.
 BROADCAST_KEYS = 2_000_000
+#: A join key of more rows than ``HOT``, and than one in ``FEW`` of all, is dealt over several; at most ``FEW`` are.
+HOT, FEW = 1000, 100_000
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, WORDS + 1)], np.uint64)
@@ -214,6 +216,22 @@ def sketched(texts_: DataFrame) -> DataFrame:
     return arrow_map(texts_, run, f"row {kind}, md5 binary, values array<bigint>")
 
 
+def dealt(counts: DataFrame, key: str, total: int) -> DataFrame:
+    """(key, parts): over how many join keys each hot one of ``counts`` (key, n) is dealt; ``total`` is the sum of n.
+
+    A broadcast of at most ``FEW`` rows, as each has more than one in ``FEW`` of all."""
+    most = max(HOT, total // FEW)
+    return F.broadcast(counts.filter(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("parts")))
+
+
+def beside(rows: DataFrame, facts: DataFrame, key: str, by: str, hot: DataFrame) -> DataFrame:
+    """``rows`` joined with ``facts`` (one per key); a key in ``hot`` is dealt by the rows' ``by``, its fact repeated."""
+    parts = F.coalesce("parts", F.lit(1))
+    left = rows.join(hot, key, "left").withColumn("deal", F.pmod(F.xxhash64(by), parts).cast("int")).drop("parts")
+    right = facts.join(hot, key, "left").withColumn("deal", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return left.join(right, [key, "deal"]).drop("deal")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): of each node of (a, b) edges the least node that it is linked to.
 
@@ -232,7 +250,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts_: DataFrame) -> DataFrame:
-    """The (a, b) pairs with a flag ``ok``; texts_ has (node, text) of every node in a pair.
+    """The (a, b) pairs, a written table, with a flag ``ok``; texts_ has (node, text) of every node in a pair.
 
     Texts travel rather than shingle codes, which are longer and do not compress."""
 
@@ -247,7 +265,8 @@ def verified(pairs: DataFrame, texts_: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
     left = pairs.join(texts_.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    full = left.join(texts_.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    hot = dealt(pairs.groupBy("a").agg(F.count("*").alias("n")), "a", pairs.count())
+    full = beside(left, texts_.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a", "b", hot)
     return arrow_map(full.select("a", "b", "ta", "tb"), run, "a bigint, b bigint, ok boolean")
 
 
@@ -259,7 +278,7 @@ def linked(base: DataFrame, reps: DataFrame, members: DataFrame, nodes: DataFram
     wanted = reps.join(nodes, "node", "left_semi").select("md5", "row", "node")
     wanted = F.broadcast(wanted) if n <= BROADCAST_KEYS else wanted
     texts_ = cut(base.join(wanted, ["md5", "row"]).dropDuplicates(["md5", "row"]).select("node", "text"))
-    pairs = members.filter("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
+    pairs, total = cut(members.filter("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()), members.count()
     done = edges = None
     for turn in range(ROUNDS + 1):
         tested = cut(verified(pairs, texts_))
@@ -270,11 +289,12 @@ def linked(base: DataFrame, reps: DataFrame, members: DataFrame, nodes: DataFram
             return labels
         inside = members.join(labels, "node").select("bucket", "node", "comp")
         spread = inside.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low != high")
-        apart = cut(inside.join(spread.select("bucket", "n"), "bucket"))
+        spread = cut(spread.select("bucket", "n"))
+        apart = cut(beside(inside, spread, "bucket", "node", dealt(spread, "bucket", total)))
         if turn < ROUNDS - 1:  # the next representative of a bucket is one of its members by a hash that changes each round
             rank = F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("h"), "node", "comp")
             rep = apart.filter(F.col("n") > SMALL).groupBy("bucket").agg(F.min(rank).alias("r")).select("bucket", F.col("r.node").alias("a"), F.col("r.comp").alias("ca"))
-            next_ = apart.join(rep, "bucket").filter("comp != ca").select("a", F.col("node").alias("b"))
+            next_ = beside(apart, rep, "bucket", "node", dealt(spread, "bucket", total)).filter("comp != ca").select("a", F.col("node").alias("b"))
         else:
             small = apart.filter(F.col("n") <= SMALL)
             other = small.select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca"))
@@ -299,8 +319,9 @@ def by_prefix(nodes: DataFrame, texts_: DataFrame) -> DataFrame:
     coded = arrow_map(texts_.join(nodes.select("node"), "node", "left_semi").select("node", "text"), run, "node bigint, codes array<bigint>")
     rows = cut(coded.select("node", F.size("codes").alias("n"), F.explode("codes").alias("code")))
     held = rows.groupBy("code").agg(F.count("*").alias("held"))
+    hot = dealt(held.withColumnRenamed("held", "n"), "code", rows.count())
     place = F.row_number().over(Window.partitionBy("node").orderBy("held", "code"))
-    first = rows.join(held, "code").withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1).filter("held > 1")
+    first = beside(rows, held, "code", "node", hot).withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1).filter("held > 1")
     left = cut(first.select("node", "n", "code", "place").join(nodes, "node"))
     right = left.select("code", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("cb"), F.col("place").alias("at"))
     # from their first common shingle on, two texts share no more than what the shorter rest holds
@@ -314,16 +335,18 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     base = docs.select(*_codes(key, text), F.col(text).alias("text"))
     rows = cut(sketched(base))
     # one representative of each text; two texts share a node number with a chance of n^2 / 2^65
-    reps = cut(rows.groupBy("md5").agg(F.min("row").alias("row"), F.first("values").alias("values")).withColumn("node", F.xxhash64("md5")))
+    reps = cut(rows.groupBy("md5").agg(F.min("row").alias("row"), F.first("values").alias("values"), F.count("*").alias("n")).withColumn("node", F.xxhash64("md5")))
     entries = reps.select("node", F.explode("values").alias("bucket"))
-    stars = entries.groupBy("bucket").agg(F.min("node").alias("rep"), F.count("*").alias("n")).filter("n > 1")
-    members = cut(entries.join(stars.select("bucket", "rep"), "bucket").select("bucket", "node", "rep"))
+    stars = cut(entries.groupBy("bucket").agg(F.min("node").alias("rep"), F.count("*").alias("n")).filter("n > 1"))
+    hot = dealt(stars, "bucket", stars.agg(F.sum("n")).first()[0] or 0)
+    members = cut(beside(entries, stars.select("bucket", "rep"), "bucket", "node", hot).select("bucket", "node", "rep"))
     nodes = cut(members.select("node").distinct())
     labels = linked(base, reps, members, nodes)
     whole = reps.join(labels, "node", "left").select("md5", "row", F.coalesce("comp", "node").alias("comp"))
     least = whole.groupBy("comp").agg(F.min(F.struct("row", "md5")).alias("least"))
     named = whole.join(least, "comp").select("md5", F.col("least.row").alias("class_row"), F.col("least.md5").alias("class_md5"))
-    return rows.select("row", "md5").join(named, "md5")
+    copies = dealt(reps.select("md5", "n"), "md5", rows.count())
+    return beside(rows.select("row", "md5"), named, "md5", "row", copies).select("row", "md5", "class_row", "class_md5")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -194,9 +194,10 @@ def brute_classes(texts):
     return [find(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("small", [8, 2])
-def test_near_duplicates(spark, tmp_path, table, monkeypatch, small):
+@pytest.mark.parametrize(("small", "hot"), [(8, 1000), (2, 3)])
+def test_near_duplicates(spark, tmp_path, table, monkeypatch, small, hot):
     monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "HOT", hot)  # the passage's buckets and shingles are dealt over several join keys
     rng = random.Random(7)
     passage = prose(rng, 60).split()
     texts = [None, None, "", "  ", "a b", "A  b", "one two three four five six seven eight nine", "one two three four five six seven eight"]
