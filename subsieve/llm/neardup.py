@@ -269,11 +269,12 @@ def linked(base: DataFrame, reps: DataFrame, members: DataFrame, nodes: DataFram
         if turn == ROUNDS:
             return labels
         inside = members.join(labels, "node").select("bucket", "node", "comp")
-        spread = inside.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low != high")
-        apart = cut(inside.join(spread.select("bucket", "n"), "bucket"))
+        # few buckets are open after the first round: written first, they are broadcast if small, and hot buckets stay where they are
+        spread = cut(inside.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low != high").select("bucket", "n"))
+        apart = cut(inside.join(spread, "bucket"))
         if turn < ROUNDS - 1:  # the next representative of a bucket is one of its members by a hash that changes each round
             rank = F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("h"), "node", "comp")
-            rep = apart.filter(F.col("n") > SMALL).groupBy("bucket").agg(F.min(rank).alias("r")).select("bucket", F.col("r.node").alias("a"), F.col("r.comp").alias("ca"))
+            rep = cut(apart.filter(F.col("n") > SMALL).groupBy("bucket").agg(F.min(rank).alias("r")).select("bucket", F.col("r.node").alias("a"), F.col("r.comp").alias("ca")))
             next_ = apart.join(rep, "bucket").filter("comp != ca").select("a", F.col("node").alias("b"))
         else:
             small = apart.filter(F.col("n") <= SMALL)
