@@ -231,6 +231,16 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, comp) after more (a, b) links between nodes; only the components that these join are gone through."""
+    a, b = (labels.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
+    joined = cut(links.join(a, "a").join(b, "b").filter("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    if not joined.limit(1).count():
+        return labels
+    moved = components(joined).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return cut(labels.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+
+
 def verified(pairs: DataFrame, texts_: DataFrame) -> DataFrame:
     """The (a, b) pairs with a flag ``ok``; texts_ has (node, text) of every node in a pair.
 
@@ -260,17 +270,19 @@ def linked(base: DataFrame, reps: DataFrame, members: DataFrame, nodes: DataFram
     wanted = F.broadcast(wanted) if n <= BROADCAST_KEYS else wanted
     texts_ = cut(base.join(wanted, ["md5", "row"]).dropDuplicates(["md5", "row"]).select("node", "text"))
     pairs = members.filter("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
-    done = edges = None
+    done = labels = None
     for turn in range(ROUNDS + 1):
         tested = cut(verified(pairs, texts_))
-        done, edges = (x.select("a", "b") if y is None else y.union(x.select("a", "b")) for x, y in ((tested, done), (tested.filter("ok"), edges)))
-        found = components(edges)
-        labels = cut(nodes.join(found, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
+        done = tested.select("a", "b") if done is None else done.union(tested.select("a", "b"))
+        links = tested.filter("ok").select("a", "b")
+        labels = merged(labels, links) if turn else cut(nodes.join(components(links), "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
         if turn == ROUNDS:
             return labels
         inside = members.join(labels, "node").select("bucket", "node", "comp")
         # few buckets are open after the first round: written first, they are broadcast if small, and hot buckets stay where they are
         spread = cut(inside.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low != high").select("bucket", "n"))
+        if not spread.limit(1).count():
+            return labels
         apart = cut(inside.join(spread, "bucket"))
         if turn < ROUNDS - 1:  # the next representative of a bucket is one of its members by a hash that changes each round
             rank = F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("h"), "node", "comp")
