@@ -300,26 +300,31 @@ def linked(base: DataFrame, reps: DataFrame, members: DataFrame, nodes: DataFram
 def by_prefix(nodes: DataFrame, texts_: DataFrame) -> DataFrame:
     """(a, b): all pairs of ``nodes`` (node, comp) of different components that can have the similarity, by the prefix filter.
 
-    Order each text's distinct shingles from the rarest among these nodes; two texts with the Jaccard index t share
-    one of the first n - ceil(t n) + 1, and the places of the first shared one bound what they can share. Passages
-    that many texts hold are common and so stand last."""
+    Order each text's distinct shingles from those that fewest nodes hold outside their commonest component; two texts
+    with the Jaccard index t share one of the first n - ceil(t n) + 1, and the places of the first shared one bound what
+    they can share. Shingles of one component only stand first and are in no pair, so they are counted and not joined;
+    passages that many texts hold stand last. A shingle's commonest component is on one side of the join only, so the
+    pairs within a component that are met are no more than those across."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [first_places(shingles(raw)).view(np.int64) for raw in blobs(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "codes"])
-
-    coded = arrow_map(texts_.join(nodes.select("node"), "node", "left_semi").select("node", "text"), run, "node bigint, codes array<bigint>")
-    rows = cut(coded.select("node", F.size("codes").alias("n"), F.explode("codes").alias("code")))
-    held = rows.groupBy("code").agg(F.count("*").alias("held"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy("held", "code"))
-    first = rows.join(held, "code").withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1).filter("held > 1")
-    left = cut(first.select("node", "n", "code", "place").join(nodes, "node"))
-    right = left.select("code", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("cb"), F.col("place").alias("at"))
+            made = [first_places(shingles(raw)).view(np.int64) for raw in blobs(b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.list_(pa.int64()))], names=["node", "comp", "codes"])
+
+    coded = arrow_map(texts_.join(nodes, "node").select("node", "comp", "text"), run, "node bigint, comp bigint, codes array<bigint>")
+    rows = cut(coded.select("node", "comp", F.size("codes").alias("n"), F.explode("codes").alias("code")))
+    inside = rows.groupBy("code", "comp").agg(F.count("*").alias("k"))
+    held = inside.groupBy("code").agg((F.sum("k") - F.max("k")).alias("others"), F.max_by("comp", F.struct("k", "comp")).alias("home")).filter("others > 0")
+    own = Window.partitionBy("node")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("others", "code"))
+    first = rows.join(held, "code").withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1)
+    left = cut(first.select("node", "comp", "n", "code", "place", "home"))
+    right = left.filter("comp != home").select("code", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("cb"), F.col("place").alias("at"))
     # from their first common shingle on, two texts share no more than what the shorter rest holds
     most = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) + 1
     near = most >= (F.col("n") + F.col("m")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9
-    return left.join(right, "code").filter((F.col("comp") < F.col("cb")) & near).select(F.col("node").alias("a"), "b").distinct()
+    across = (F.col("comp") == F.col("home")) | (F.col("comp") < F.col("cb"))
+    return left.join(right, "code").filter(across & near).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -244,6 +244,23 @@ def test_near_duplicates_in_another_order(spark, tmp_path, table):
     assert [got.class_id[i] for i in range(len(texts))] == want and len({*want}) < len(texts)
 
 
+def test_prefix_filter_joins_across_components_only(spark, monkeypatch):
+    """All pairs across components with the index of 0.8 are there; what one component alone holds is not joined."""
+    rng, written, real = random.Random(17), [], neardup.cut
+    base = prose(rng, 60).split()
+    texts = [" ".join(base[: 40 + i % 21] + prose(rng, 1 + i % 4).split()) for i in range(60)]
+    table = spark.createDataFrame([*enumerate(texts)], "node bigint, text string").cache()
+    monkeypatch.setattr(neardup, "cut", lambda df: written.append(real(df)) or written[-1])
+    sets = [{*neardup.shingles(t.encode()).tolist()} for t in texts]
+    for parts in (1, 3, 60):
+        nodes = spark.createDataFrame([(i, min(i, parts - 1) if parts < 60 else i) for i in range(60)], "node bigint, comp bigint")
+        comp = dict(nodes.collect())
+        found = [tuple(sorted(r)) for r in neardup.by_prefix(nodes, table).collect()]
+        want = {(a, b) for a, b in itertools.combinations(range(60), 2) if comp[a] != comp[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+        assert want <= {*found} and len({*found}) == len(found) and all(comp[a] != comp[b] for a, b in found)
+        assert bool(want) == (parts > 1) == bool(written[-1].count())
+
+
 def test_near_duplicates_on_odd_tables(odd, none):
     out = neardup.deduplicate(odd)
     assert out.columns == odd.columns and out.count() == odd.select("text").distinct().count() and neardup.deduplicate(none).count() == 0
