@@ -32,6 +32,8 @@ from subsieve.schema import words
 BROADCAST_BYTES = 64 << 20
 #: An anchor with more sets than this is dealt over several join keys.
 SALT_ROWS = 100_000
+#: A query with more tags than this goes to them without carrying them along.
+CARRIED_TAGS = 32
 STRATEGIES = ("auto", "nested_loop", "mask_routed", "anchor", "tag_anchor")
 WORDS = words()
 
@@ -51,6 +53,12 @@ def _width(kind: str) -> int:
     return 8 if kind in ("bigint", "int", "double", "boolean") else 1024
 
 
+def _bytes(df: DataFrame, tags: str) -> int:
+    """Bytes of all rows, about, by one distributed sum: as JSON, and 16 more a tag."""
+    row = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))) + 16 * F.coalesce(F.size(tags), F.lit(0))
+    return df.agg(F.sum(row.cast("bigint"))).first()[0] or 0
+
+
 def _sides(filters: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Queries with their words named q0..q2, so that a joined row has both sets."""
     clash = ({c for c in filters.columns} & {c for c in queries.columns}) - {*WORDS}
@@ -138,15 +146,35 @@ def around(filters: DataFrame, queries: DataFrame) -> DataFrame:
 def tag_anchor(filters: DataFrame, queries: DataFrame, key: list[str], tags: str = "tags", query_tags: str = "query_tags", words_too: bool = False) -> DataFrame:
     """An equi-join on each set's least asked tag, re-checked on the exact tags.
 
-    ``key`` identifies a filter row. Sets without tags are in every query and are joined to all of them; a tag
-    at which very many sets wait is dealt over several keys, on which the queries that hold it are repeated."""
-    asked = queries.select(F.explode(F.array_distinct(query_tags)).alias("_t")).groupBy("_t").agg(F.count("*").alias("_n"))
+    ``key`` identifies a filter row. Sets without tags are in every query and are joined to all of them. Sets that
+    fit a broadcast wait on every worker; else a tag at which very many wait is dealt over several keys, on which
+    the queries that hold it are repeated. Queries of more than ``CARRIED_TAGS`` tags do not take their tags along
+    to each of them, which grows with the square of their number: only their hash goes, and the rows of a hash
+    that met a set are tested with it."""
+    filters = cut(filters)
+    small = _bytes(filters, tags) <= BROADCAST_BYTES
+    near = F.broadcast if small else (lambda df: df)
     spread = filters.select(*key, F.explode(F.array_distinct(tags)).alias("_t"))
-    chosen = spread.join(asked, "_t", "left").groupBy(*key).agg(F.min_by("_t", F.struct(F.coalesce("_n", F.lit(0)), "_t")).alias("_t"))
-    held = chosen.groupBy("_t").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("_parts"))
-    waiting = filters.join(chosen, key).join(held, "_t").withColumn("_s", F.pmod(F.xxhash64(*key), F.col("_parts")).cast("int")).drop("_parts")
-    moving = queries.withColumn("_t", F.explode(F.array_distinct(query_tags))).join(held, "_t").withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    found = waiting.join(moving, ["_t", "_s"]).filter(F.size(F.array_except(tags, query_tags)) == 0).select(*filters.columns, *[c for c in queries.columns])
+    asked = queries.select(F.explode(F.array_distinct(query_tags)).alias("_t")).join(near(spread.select("_t").distinct()), "_t").groupBy("_t").agg(F.count("*").alias("_n"))
+    chosen = cut(spread.join(asked, "_t", "left").groupBy(*key).agg(F.min_by("_t", F.struct(F.coalesce("_n", F.lit(0)), "_t")).alias("_t")))
+    whole = F.size(F.array_except(tags, query_tags)) == 0
+    columns = [*filters.columns, *queries.columns]
+
+    def met(waiting: DataFrame, moving: DataFrame) -> DataFrame:
+        """The rows of ``moving`` at the sets that wait at one of their tags ``_t``."""
+        if small:
+            return moving.join(F.broadcast(waiting), "_t")
+        held = chosen.groupBy("_t").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("_parts"))
+        dealt = waiting.join(held, "_t").withColumn("_s", F.pmod(F.xxhash64(*key), F.col("_parts")).cast("int")).drop("_parts")
+        return dealt.join(moving.join(held, "_t").withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts"), ["_t", "_s"])
+
+    few = queries.filter(F.size(query_tags) <= CARRIED_TAGS)
+    found = met(filters.join(chosen, key), few.withColumn("_t", F.explode(F.array_distinct(query_tags)))).filter(whole).select(*columns)
+    # equal hashes of different sets cost a test, not a result
+    many = queries.filter(F.size(query_tags) > CARRIED_TAGS).withColumn("_h", F.xxhash64(query_tags))
+    hits = cut(met(chosen, many.select("_h", F.explode(F.array_distinct(query_tags)).alias("_t"))).select("_h", *key).distinct().join(near(filters), key))
+    hits = F.broadcast(hits) if _bytes(hits, tags) <= BROADCAST_BYTES else hits
+    found = found.unionByName(many.join(hits, "_h").filter(whole).select(*columns))
     bare = filters.filter((F.size(tags) == 0) | F.col(tags).isNull())
     if not bare.limit(1).count():
         return found

@@ -89,6 +89,31 @@ def test_tag_anchor(spark, monkeypatch):
         assert sorted((x.qid, x.key) for x in r.collect()) == want
 
 
+def test_tag_anchor_of_long_queries(spark, monkeypatch):
+    """Queries do not carry their tags to each of them: with them they shuffle over 4 MB. Pairs stay the same."""
+    rows = [(i, [i * 7919 % 4000, i * 104729 % 4000, i % 40]) for i in range(300)] + [(300, []), (301, None)]
+    asked = [(i, [(i + j * (i % 3 + 1)) * 31 % 4000 for j in range(1500)]) for i in range(8)] + [(8, [1, 2, 3]), (8, [1, 2, 3]), (3, [0] * 50), (9, []), (10, None)]
+    f = spark.createDataFrame(rows, "key bigint, tags array<bigint>")
+    q = spark.createDataFrame(asked, "qid bigint, query_tags array<bigint>")
+    want = sorted((j, i) for i, t in rows for j, s in asked if {*(t or [])} <= {*(s or [])})
+    assert len(want) > 2 * len(asked) + 20
+    gateway, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        done = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {s.stageId(): s.shuffleWriteBytes() for s in map(done.apply, range(done.size()))}
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for bound in (match.BROADCAST_BYTES, -1):
+            monkeypatch.setattr(match, "BROADCAST_BYTES", bound)
+            before = stages()
+            assert sorted((x.qid, x.key) for x in match.tag_anchor(f, q, ["key"]).collect()) == want
+            assert sum(n for k, n in stages().items() if k not in before) < 4e6
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_large_sides_are_not_broadcast(filters, queries, monkeypatch):
     """Beyond the bound every strategy and relation goes by equi-joins, with the same pairs."""
     relations = [("subset", "nested_loop"), ("subset", "mask_routed"), ("subset", "auto"), ("superset", "auto"), ("subset", "anchor"), ("superset", "anchor")]
